@@ -140,12 +140,9 @@ def _first_group(c: Sql) -> Sql:
 def drop_styles(c: Sql) -> Sql:
     commands = F.array(*[F.lit(x) for x in fixed.STYLE_COMMANDS])
     environments = [(f"\\{edge}{{{env}}}", "") for env in fixed.ENVIRONMENTS for edge in ("begin", "end")]
-    return let(
-        c,
-        lambda s: F.when(
-            _has(s, "\\"), replace_each(F.aggregate(commands, s, _drop_style), environments)
-        ).otherwise(s),
-    )
+    return F.when(
+        _has(c, "\\"), replace_each(F.aggregate(commands, c, _drop_style), environments)
+    ).otherwise(c)
 
 
 def degrees(c: Sql) -> Sql:
@@ -231,12 +228,7 @@ def fix_fracs(c: Sql) -> Sql:
             F.array_join(F.concat(F.slice(parts, 1, 1), F.transform(tail, braced)), "\\frac")
         )
 
-    return let(
-        c,
-        lambda s: F.when(
-            _has(s, "\\frac"), let(F.split(s, r"\\frac", -1), lambda parts: fix(s, parts))
-        ).otherwise(s),
-    )
+    return F.when(_has(c, "\\frac"), let(F.split(c, r"\\frac", -1), lambda parts: fix(c, parts))).otherwise(c)
 
 
 def fix_slashes(c: Sql) -> Sql:
@@ -269,18 +261,20 @@ def _equalities(c: Sql) -> Sql:
     )
 
 
+ELEMENT_STAGES = (
+    fix_sqrt,
+    lambda s: F.when(F.startswith(s, "frac"), F.concat("\\", s)).otherwise(s),
+    fix_fracs,
+    lambda s: _sub(fix_slashes(s), r"^[a-z]\\in", ""),
+    lambda s: F.when(_has(s, ","), s).otherwise(unwrap_all(s)),
+    _equalities,
+    lambda s: F.when(_has(s, "\\pm") | _has(s, "\\mp"), plus_minus(s)).otherwise(s),
+)
+
+
 def normal_element(c: Sql) -> Sql:
     """Stages applied to each element of an answer."""
-    c = fix_sqrt(c)
-    c = let(c, lambda s: F.when(F.startswith(s, F.lit("frac")), F.concat(F.lit("\\"), s)).otherwise(s))
-    c = fix_slashes(fix_fracs(c))
-    c = _sub(c, r"^[a-z]\\in", "")
-    c = let(c, lambda s: F.when(_has(s, ","), s).otherwise(unwrap_all(s)))
-    c = let(c, _equalities)
-    c = let(
-        c, lambda s: F.when(_has(s, "\\pm") | _has(s, "\\mp"), plus_minus(s)).otherwise(s)
-    )
-    return _sub(c, "^0+([1-9])", "$1")
+    return _sub(F.chain(c, ELEMENT_STAGES), "^0+([1-9])", "$1")
 
 
 def raw_elements(c: Sql) -> Sql:
@@ -345,7 +339,6 @@ def _chains_to_lists(c: Sql) -> Sql:
     ).otherwise(c)
 
 
-# One projection each: a stage reads its input several times, so it must exist by then.
 MATH_STAGES = (
     lambda c: replace_literals(clean(strip(c))),
     _infinity_and_spaces,
@@ -363,47 +356,25 @@ MATH_STAGES = (
 )
 
 
-def normalize_math(df: DataFrame, source: str, target: str) -> DataFrame:
-    """Add the normal form of mathematical answers."""
-    df = df.withColumn(target, F.col(source).column())
-    for stage in MATH_STAGES:
-        df = df.withColumn(target, stage(F.col(target)).column())
-    return df
+def normal_math(c: Sql) -> Sql:
+    """Normal form of a mathematical answer."""
+    return F.chain(c, MATH_STAGES)
 
 
-def _bound(advance, stage):
-    return lambda x: advance(x, stage)
+def normal_answer(c: Sql) -> Sql:
+    """Normal form of any answer: truth word, weekday or mathematical text."""
+    cleaned = clean(strip(F.replace(c, "\n", "")))
+    return F.when(c.rlike(PLAIN_INTEGER), c).otherwise(
+        let(cleaned, lambda s: F.coalesce(truth_word(s), weekday(s), normal_math(s)))
+    )
 
 
 def normalize(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add normal forms: ``columns`` maps source to target column.
 
-    All columns run through one copy of the stages, as one array of
-    STRUCT<text, done>; ``done`` holds the result of texts that need no stage.
+    All columns run through one copy of the expression.
     """
-
-    def begin(text: Sql) -> Sql:
-        cleaned = clean(strip(F.replace(text, "\n", "")))
-
-        def state(s: Sql) -> Sql:
-            word = F.coalesce(truth_word(s), weekday(s))
-            return F.struct(s.alias("text"), F.when(s.rlike(PLAIN_INTEGER), s).otherwise(word).alias("done"))
-
-        return let(F.when(text.rlike(PLAIN_INTEGER), text).otherwise(cleaned), state)
-
-    def advance(x: Sql, stage) -> Sql:
-        return F.struct(
-            F.when(F.isnull(x["done"]), stage(x["text"])).alias("text"), x["done"].alias("done")
-        )
-
-    work = F.col("_normal")
-    df = df.withColumn(
-        "_normal", F.transform(F.array(*[F.col(c) for c in columns]), begin).column()
-    )
-    for stage in MATH_STAGES:
-        df = df.withColumn("_normal", F.transform(work, _bound(advance, stage)).column())
-    found = {
-        target: F.coalesce(work[i]["done"], work[i]["text"]).column()
-        for i, target in enumerate(columns.values())
-    }
+    texts = F.array(*[F.col(c) for c in columns])
+    df = df.withColumn("_normal", F.transform(texts, normal_answer).column())
+    found = {target: F.col("_normal")[i].column() for i, target in enumerate(columns.values())}
     return df.withColumns(found).drop("_normal")

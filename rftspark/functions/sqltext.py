@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import inspect
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -140,6 +140,21 @@ def let(value: Sql, body: Callable[[Sql], Sql]) -> Sql:
     return Sql(f"transform(array({as_text(value)}), {_lambda(body)})[0]")
 
 
+def chain(value: Sql, stages: Sequence[Callable[[Sql], Sql]]) -> Sql:
+    """Apply stages one after the other; each may read its input many times.
+
+    A fold over the stage number. Unlike nested lambdas its depth does not grow with the number
+    of stages, which keeps analysis short.
+    """
+    last = len(stages) - 1
+
+    def step(acc: Sql, i: Sql) -> Sql:
+        branches = [part for n, f in enumerate(stages[:-1]) for part in (as_text(i == n), as_text(f(acc)))]
+        return Case((*branches, as_text(stages[last](acc))))
+
+    return Sql(f"aggregate(sequence(0, {last}), {as_text(value)}, {_lambda(step)})")
+
+
 def __getattr__(name: str) -> Callable[..., Sql]:
     if name.startswith("_"):
         raise AttributeError(name)

@@ -83,7 +83,8 @@ def grade(
     plan for very wide rows; streams need it. ``evaluator`` replaces the built-in tiers and
     sees the pair table.
     """
-    df = with_column(responses, "ref_num", "double")
+    new = ["ans", "ans_norm", "ref_norm", "correct", "match_tier"]
+    df = with_column(responses.drop(*new), "ref_num", "double")
     df = with_column(df, "finish_reason", "string")
     df = with_column(df, "abs_tol", "double")
     df = with_column(df, "dataset", "string")
@@ -116,7 +117,6 @@ def grade(
             "match_tier": F.when(cut, F.lit("truncated")).otherwise(F.col("match_tier")),
         }
     )
-    new = ["ans", "ans_norm", "ref_norm", "correct", "match_tier"]
     return graded.select(*[c for c in responses.columns if c not in new], *new)
 
 

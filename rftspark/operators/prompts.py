@@ -158,8 +158,10 @@ def render(df: DataFrame, templates: DataFrame, target: str = "prompt") -> DataF
     joined = joined.withColumns({**texts, "defaulted": missing})
     query = prefix(F.col("query"))
     if "examples" in df.columns:
-        shown = F.transform("examples", lambda e: qa_pair(e["q"], e["a"]))
-        query = F.array_join(F.concat(shown, F.array(query)), F.col("delim"))
+        shown = F.aggregate(
+            "examples", F.lit(""), lambda acc, e: F.concat(acc, qa_pair(e["q"], e["a"]), "delim")
+        )
+        query = F.concat(shown, query)
     prompt = F.concat("sys_prompt", query)
     return joined.withColumn(target, prompt).select(*df.columns, target, "defaulted")
 

@@ -1,4 +1,4 @@
-"""The whole way from raw responses to a curated set, in one plan."""
+"""The whole way from raw responses to a curated set, in one job."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rftspark.operators.grading import grade
 from rftspark.operators.quotas import difficulty, first_k_ranked, proportional_targets
+from rftspark.runtime import pinned
 
 from .base import query, view
 
@@ -23,8 +24,9 @@ from ranked r join target t on r.dataset = t.dataset and r.query = t.query where
 """)
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Extract, grade, difficulty, proportional quota, pick."""
-    # Text stays behind after grading: only keys travel through the window.
+    # Written once and read twice, for difficulty and for the pick; the text stays behind.
     graded = grade(view(spark, sf, "resp"), mode="math").select(*KEY, *ARRIVAL, "resp_id", "correct")
+    graded = pinned(graded)
     targets = proportional_targets(difficulty(graded, KEY), 8).select(*KEY, "fail_rate", "target")
     picked = first_k_ranked(graded.filter("correct"), KEY, ARRIVAL, 8)
     return picked.join(targets, KEY).filter(F.col("_rank") <= F.col("target")).select(
