@@ -107,7 +107,8 @@ def grade(
     keys = ["_raw", "ref_ans", "ref_num", "_set", "_olympiad", "_tols"]
     if dedup:
         pairs = work.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        graded = join_back(work, evaluator(pairs), keys, "_rows", ["resp", "query"], hot_rows)
+        spread = [n for n, kind in df.dtypes if not kind.startswith("map")]
+        graded = join_back(work, evaluator(pairs), keys, "_rows", spread, hot_rows)
     else:
         graded = evaluator(work)
     cut = F.col("finish_reason").isin(*TRUNCATED)

@@ -144,18 +144,14 @@ def render(df: DataFrame, templates: DataFrame, target: str = "prompt") -> DataF
     Unknown templates become the default one and are marked in ``defaulted``. The template
     table is a few rows, so it is broadcast.
     """
-    known = F.broadcast(templates.withColumnRenamed("id", "_id"))
-    default = F.broadcast(
-        templates.filter(F.col("id") == DEFAULT_TEMPLATE).select(
-            *[F.col(c).alias(f"_d_{c}") for c in schemas.TEMPLATE_TEXTS]
-        )
-    )
-    joined = df.join(known, F.col("prompt_template") == F.col("_id"), "left").join(default)
-    missing = F.col("_id").isNull()
-    texts = {c: F.when(missing, F.col(f"_d_{c}")).otherwise(F.col(c)) for c in schemas.TEMPLATE_TEXTS}
+    known = F.broadcast(templates.select(F.col("id").alias("_known")))
+    marked = df.join(known, F.col("prompt_template") == F.col("_known"), "left")
+    used = F.coalesce(F.col("_known"), F.lit(DEFAULT_TEMPLATE))
+    marked = marked.withColumns({"_used": used, "defaulted": F.col("_known").isNull()})
+    joined = marked.join(F.broadcast(templates.withColumnRenamed("id", "_id")), F.col("_used") == F.col("_id"))
     if "response_start" in df.columns:
-        texts["prompt_before_resp"] = F.coalesce(F.col("response_start"), texts["prompt_before_resp"])
-    joined = joined.withColumns({**texts, "defaulted": missing})
+        start = F.coalesce(F.col("response_start"), F.col("prompt_before_resp"))
+        joined = joined.withColumn("prompt_before_resp", start)
     query = prefix(F.col("query"))
     if "examples" in df.columns:
         shown = F.aggregate(

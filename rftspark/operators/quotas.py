@@ -139,12 +139,12 @@ def shortfall(pool: DataFrame, by: list[str], k_u: int) -> DataFrame:
 def proportional_targets(rates: DataFrame, k_p: int) -> DataFrame:
     """Add ``target``: proportional to ``fail_rate``, ``k_p`` for the hardest, at least 1.
 
-    The largest rate is a one-row aggregate, not a window over all queries.
+    The largest rate is a scalar subquery, not a window over all queries.
     """
-    top = rates.agg(F.max("fail_rate").alias("_top"))
-    share = F.col("fail_rate") / F.nullif(F.col("_top"), F.lit(0.0))
+    top = rates.agg(F.max("fail_rate")).scalar()
+    share = F.col("fail_rate") / F.nullif(top, F.lit(0.0))
     target = F.greatest(F.lit(1), F.ceil(F.round(F.lit(k_p) * share, 9)).cast("int"))
-    return rates.join(F.broadcast(top)).withColumn("target", target).drop("_top")
+    return rates.withColumn("target", target)
 
 
 def proportional_quota(pool: DataFrame, by: list[str], order: list[str], k_p: int) -> DataFrame:

@@ -40,12 +40,13 @@ def describe_counts(counts: DataFrame, column: str = "n", exact: bool = True) ->
 
 def histogram(df: DataFrame, column: str, bins: int = 100) -> DataFrame:
     """Equal-width bins between the extremes; the last one includes the maximum."""
-    edges = df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    position = F.coalesce(F.floor((F.col(column) - F.col("_lo")) / F.nullif(width, F.lit(0.0))), F.lit(0))
+    edges = df.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"))).scalar()
+    marked = df.select(column).withColumn("_edges", edges)
+    low, high = F.col("_edges.lo"), F.col("_edges.hi")
+    width = F.nullif((high - low) / bins, F.lit(0.0))
+    position = F.coalesce(F.floor((F.col(column) - low) / width), F.lit(0))
     return (
-        df.join(F.broadcast(edges))
-        .withColumn("bin", F.least(position, F.lit(bins - 1)).cast("int"))
+        marked.withColumn("bin", F.least(position, F.lit(bins - 1)).cast("int"))
         .groupBy("bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -88,11 +88,10 @@ def mask_labels(df: DataFrame, source_len: Column, pad_id: int = PAD_ID) -> Data
 
 
 def pad_right(df: DataFrame, pad_id: int = PAD_ID) -> DataFrame:
-    """Pad all rows to the longest one; its length is a one-row aggregate."""
-    top = df.agg(F.max(F.size("input_ids")).alias("_top"))
+    """Pad all rows to the longest one; its length is a scalar subquery."""
+    top = df.agg(F.max(F.size("input_ids"))).scalar()
     missing = F.col("_top") - F.size("input_ids")
-    joined = df.join(F.broadcast(top))
-    return joined.withColumns(
+    return df.withColumn("_top", top).withColumns(
         {
             name: F.concat(name, F.array_repeat(F.lit(fill), missing))
             for name, fill in (("input_ids", pad_id), ("labels", IGNORE), ("attention_mask", 0))

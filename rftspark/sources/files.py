@@ -63,13 +63,9 @@ def rows_per_file(scan: DataFrame) -> DataFrame:
 def split_ranges(df: DataFrame, order: list[str], rows: int) -> DataFrame:
     """Number the rows and cut them into splits: ``split_start``, ``split_end`` (exclusive)."""
     numbered = dense_index(df, order, "row_no")
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    total = df.agg(F.count(F.lit(1))).scalar()
     start = F.floor(F.col("row_no") / rows) * rows
-    return (
-        numbered.join(F.broadcast(total))
-        .withColumns({"split_start": start, "split_end": F.least(start + rows, F.col("_total"))})
-        .drop("_total")
-    )
+    return numbered.withColumns({"split_start": start, "split_end": F.least(start + rows, total)})
 
 
 def write_splits(df: DataFrame, path: str, order: list[str], rows: int) -> None:

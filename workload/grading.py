@@ -173,7 +173,10 @@ def correct_by_form(spark, sf):
     )
 
 
-@query()
+@query("""
+select count(*) as n, count(*) filter (lost) as n_undecided, count(*) filter (lost) / count(*) as undecided_rate
+from (select form = 7 and not same or form = 11 and not same and ref_ans = '20' as lost from {forms} f) x
+""")
 def undecided_share(spark, sf):
     """What only a symbolic check could decide."""
     return grading.undecided_rate(grading.grade(_form_responses(spark, sf), mode="math"))

@@ -227,7 +227,7 @@ def load_generated_math(spark, sf):
 @query(f"""
 select concat('{EN.format("Math")}', 'The answer of The problem should be a numerical value. ',
   {TASK.format(box="concat(chr(92), 'boxed{answer}')", unit="''")}, chr(10), p_name) as query,
-  cast(p_size as varchar) as ref_ans, case when p_size % 2 = 0 then 0.01 end as abs_tol, p_type as domain, 'olympiadbench/OE_TO_maths_en_COMP' as dataset from part
+  cast(p_size as varchar) as ref_ans, cast(case when p_size % 2 = 0 then 0.01 end as double) as abs_tol, p_type as domain, 'olympiadbench/OE_TO_maths_en_COMP' as dataset from part
 """)
 def load_olympiad(spark, sf):
     """A18."""
