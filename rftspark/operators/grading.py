@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import sqltext
 from ..functions.equality import DEFAULT, Tolerance, add_verdict
@@ -107,6 +108,9 @@ def grade(
     keys = ["_raw", "ref_ans", "ref_num", "_set", "_olympiad", "_tols"]
     if dedup:
         pairs = work.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+        # Few bytes but much work per pair: a fixed number of tasks, not one sized by bytes.
+        tasks = int(responses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pairs = pairs.repartition(tasks, *keys)
         spread = [n for n, kind in df.dtypes if not kind.startswith("map")]
         graded = join_back(work, evaluator(pairs), keys, "_rows", spread, hot_rows)
     else:
@@ -136,20 +140,23 @@ def python_evaluator(equal: Callable[[str, str], bool]) -> Callable[[DataFrame],
     An exception counts as a wrong answer, as does a falsy result.
     """
 
-    def evaluate(pairs: DataFrame) -> DataFrame:
-        def verdicts(refs: pd.Series, answers: pd.Series) -> pd.Series:
-            def one(ref, ans):
-                try:
-                    return bool(equal(ref, ans))
-                except Exception:
-                    return False
+    def one(ref: str, ans: str) -> bool | None:
+        if ref is None:
+            return None
+        try:
+            return bool(equal(ref, ans))
+        except Exception:
+            return False
 
-            return pd.Series([one(r, a) for r, a in zip(refs, answers)])
+    def verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(correct=[one(r, a) for r, a in zip(pdf["ref_ans"], pdf["ans"])])
 
-        check = F.pandas_udf(verdicts, "boolean")
+    def evaluate(pairs: DataFrame) -> DataFrame:
         df = normalize(pairs, {"_raw": "ans"}).withColumns(
-            {"ans_norm": F.col("ans"), "ref_norm": F.col("ref_ans")}
+            {"ans_norm": F.col("ans"), "ref_norm": F.col("ref_ans"), "match_tier": F.lit("custom")}
         )
-        return df.withColumns({"correct": check("ref_ans", "ans"), "match_tier": F.lit("custom")})
+        fields = [*df.schema.fields, T.StructField("correct", T.BooleanType())]
+        return df.mapInPandas(verdicts, T.StructType(fields))
 
     return evaluate

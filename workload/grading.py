@@ -11,20 +11,25 @@ from rftspark.functions.normalize import distinct_elements
 from rftspark.functions.values import date_time
 from rftspark.operators import grading
 from rftspark.operators.quotas import difficulty
+from rftspark.runtime import spread
 
 from .base import derived, query, table, view
 
 
+def _pool(spark, sf):
+    return spread(view(spark, sf, "resp"))
+
+
 @query("select resp_id, given as ans from {resp} r")
 def extract_answers(spark, sf):
     """E1-E9 on five response styles."""
-    return grading.extract_answers(view(spark, sf, "resp")).select("resp_id", "ans")
+    return grading.extract_answers(_pool(spark, sf)).select("resp_id", "ans")
 
 
 @query("select resp_id, case when seq % 5 in (1, 4) then '' else given end as raw from {resp} r")
 def extract_strict(spark, sf):
     """E7 with announced answers only."""
-    df = view(spark, sf, "resp")
+    df = _pool(spark, sf)
     from rftspark.functions.extract import raw_answer
 
     return df.select("resp_id", raw_answer(sqltext.col("resp"), strict=True).column().alias("raw"))
@@ -67,7 +72,7 @@ def boxed_content(spark, sf):
         "when 1 then concat('{', given, ' and the rest') "
         "else concat(given, chr(92), '}}') end)"
     )
-    df = view(spark, sf, "resp").withColumn("text", text)
+    df = _pool(spark, sf).withColumn("text", text)
     found = df.select(
         "resp_id",
         boxed_strict(sqltext.col("text")).column().alias("strict"),
@@ -88,14 +93,14 @@ def explicit_cues(spark, sf):
         "when 1 then concat('we get ', given) when 2 then 'The statement is Yes.' "
         "else concat('Old. # Answer', chr(10), chr(10), 'answer: $', given, '$') end"
     )
-    df = view(spark, sf, "resp").withColumn("text", text)
+    df = _pool(spark, sf).withColumn("text", text)
     return df.select("resp_id", explicit_answer(sqltext.col("text")).column().alias("announced"))
 
 
 @query("select resp_id, coalesce(case when seq % 2 = 0 then 'kept' end, given) as ans from {resp} r")
 def keep_given_answers(spark, sf):
     """Answers that are there stay."""
-    df = view(spark, sf, "resp").withColumn("ans", F.when(F.col("seq") % 2 == 0, "kept"))
+    df = _pool(spark, sf).withColumn("ans", F.when(F.col("seq") % 2 == 0, "kept"))
     return grading.extract_answers(df, keep=True).select("resp_id", "ans")
 
 
@@ -121,7 +126,7 @@ def normalize_answers(spark, sf):
         f"when 11 then 'Incorrect, no' when 12 then concat('(0,', given, ']∪(2,∞)') when 13 then concat(given, 'j') "
         f"when 14 then concat('00', given, ' hours') else concat('a=b=', given) end"
     )
-    df = view(spark, sf, "resp").withColumn("text", text)
+    df = _pool(spark, sf).withColumn("text", text)
     return grading.normalize_answers(df, "text", "norm").select("resp_id", "norm")
 
 
@@ -132,20 +137,20 @@ from {resp} r
 """)
 def grade_responses(spark, sf):
     """Distinct pairs graded once."""
-    graded = grading.grade(view(spark, sf, "resp"), mode="math")
+    graded = grading.grade(_pool(spark, sf), mode="math")
     return graded.select("resp_id", "ans", "correct", "match_tier")
 
 
 @query("select resp_id, hit as correct from {resp} r")
 def grade_in_place(spark, sf):
     """G1 without dedup: one scan, no shuffle."""
-    return grading.grade(view(spark, sf, "resp"), mode="math", dedup=False).select("resp_id", "correct")
+    return grading.grade(_pool(spark, sf), mode="math", dedup=False).select("resp_id", "correct")
 
 
 @query("select resp_id, hit as correct from {resp} r")
 def grade_hot_pairs(spark, sf):
     """G1 with every pair treated as hot: salted join back."""
-    return grading.grade(view(spark, sf, "resp"), mode="math", hot_rows=20).select("resp_id", "correct")
+    return grading.grade(_pool(spark, sf), mode="math", hot_rows=20).select("resp_id", "correct")
 
 
 def _form_responses(spark, sf):
@@ -153,7 +158,7 @@ def _form_responses(spark, sf):
         "case when l_linenumber % 2 = 0 then concat('So it is ', chr(92), 'boxed{', pred, '}.') "
         "else concat('The answer is ', pred, '.') end"
     )
-    return view(spark, sf, "forms").withColumn("resp", text)
+    return spread(view(spark, sf, "forms")).withColumn("resp", text)
 
 
 @query("select resp_id, form, same as correct from {forms} f")
@@ -219,7 +224,7 @@ from {resp} r group by dataset, query
 """)
 def pass_rates(spark, sf):
     """H11 on graded responses."""
-    return difficulty(grading.grade(view(spark, sf, "resp"), mode="math"), ["dataset", "query"])
+    return difficulty(grading.grade(_pool(spark, sf), mode="math"), ["dataset", "query"])
 
 
 @query("""
@@ -266,7 +271,7 @@ from {resp} r
 """)
 def set_elements(spark, sf):
     """Distinct elements of a list answer, merged and sorted."""
-    df = view(spark, sf, "resp").withColumn("text", F.expr("concat('{', given, ',70000 or ', ref_ans, ',', given, '.0}')"))
+    df = _pool(spark, sf).withColumn("text", F.expr("concat('{', given, ',70000 or ', ref_ans, ',', given, '.0}')"))
     found = df.withColumn("e", distinct_elements(sqltext.col("text")).column())
     return found.select(
         "resp_id", F.size("e").alias("n_elements"), F.array_join(F.transform("e", lambda e: e["norm"]), "|").alias("elements")
@@ -278,7 +283,7 @@ select resp_id, given = ref_ans as same from {resp} r
 """)
 def matched_sets(spark, sf):
     """One-to-one match of two element lists."""
-    df = view(spark, sf, "resp").select(
+    df = _pool(spark, sf).select(
         "resp_id",
         distinct_elements(sqltext.Sql("concat('(', given, ',77777)')")).column().alias("a"),
         distinct_elements(sqltext.Sql("concat('77777.0 or ', ref_ans)")).column().alias("b"),
@@ -290,7 +295,7 @@ def matched_sets(spark, sf):
 def custom_evaluator(spark, sf):
     """L2: a Python equality on the distinct pair table."""
     rule = grading.python_evaluator(lambda ref, ans: int(ref) == int(ans))
-    return grading.grade(view(spark, sf, "resp"), evaluator=rule).select("resp_id", "correct")
+    return grading.grade(_pool(spark, sf), evaluator=rule).select("resp_id", "correct")
 
 
 @query("""
