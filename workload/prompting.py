@@ -262,10 +262,10 @@ def load_forum(spark, sf):
 
 
 @query("""
-select 'gsm8k/test' as dataset, concat('q', cast(p_partkey as varchar)) as query, cast(p_size as varchar) as ref_ans, 8 as max_n_trials, 2 as min_n_corrects, null::int as level from part
+select 'gsm8k/test' as dataset, concat('q', cast(p_partkey as varchar)) as query, cast(p_size as varchar) as ref_ans, 8 as max_n_trials, 2 as min_n_corrects, -1 as level from part
 union all select 'math/train', concat('m', cast(p_partkey as varchar)), case when p_size % 2 = 0 then cast(p_size as varchar) else cast(p_size as varchar) || '.5' end, 16, 3, cast(p_size % 5 + 1 as int)
   from part where p_size % 5 + 1 in (1, 3) and p_size % 2 = 0
-union all select 'mine', query, ref_ans, 4, 0, null from (select concat('f', cast(p_partkey as varchar)) as query, cast(p_size as varchar) as ref_ans,
+union all select 'mine', query, ref_ans, 4, 0, -1 from (select concat('f', cast(p_partkey as varchar)) as query, cast(p_size as varchar) as ref_ans,
   row_number() over (order by md5(concat('f', cast(p_partkey as varchar), '|42')), concat('f', cast(p_partkey as varchar))) as k from part) x where k <= 50
 """)
 def load_many(spark, sf):
@@ -279,7 +279,8 @@ def load_many(spark, sf):
         "mine;sample=50": _part(spark, sf, query="concat('f', p_partkey)", ref_ans="cast(p_size as string)"),
     }
     loaded = adapters.load_queries(raws, [8, 16, 4], [2, 3, 0])
-    return loaded.select("dataset", "query", "ref_ans", "max_n_trials", "min_n_corrects", "level")
+    level = F.coalesce("level", F.lit(-1)).alias("level")
+    return loaded.select("dataset", "query", "ref_ans", "max_n_trials", "min_n_corrects", level)
 
 
 @query("""
