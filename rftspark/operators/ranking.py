@@ -121,11 +121,11 @@ def sample_rows(df: DataFrame, key: str, amount: float, seed: int = 42) -> DataF
     ).filter(F.col("_end") - F.col("_size") < F.col("_limit"))
     near = marked.join(F.broadcast(edges), "_bucket")
     whole = near.filter(F.col("_end") <= F.col("_limit")).select(*df.columns)
-    in_bucket = Window.partitionBy("_bucket").orderBy("_hash", key)
-    cut = (
-        near.filter(F.col("_end") > F.col("_limit"))
-        .withColumn("_rank", F.row_number().over(in_bucket))
-        .filter(F.col("_rank") <= F.col("_limit") - (F.col("_end") - F.col("_size")))
+    # Copies of one key share a bucket, so it may be large; the row hash tells them apart.
+    plain = [n for n, kind in df.dtypes if not kind.startswith("map")]
+    cut = near.filter(F.col("_end") > F.col("_limit")).withColumn("_tie", F.xxhash64(*plain))
+    cut = split_rank(cut, ["_bucket"], ["_hash", key, "_tie"], "_rank").filter(
+        F.col("_rank") <= F.col("_limit") - (F.col("_end") - F.col("_size"))
     )
     return whole.unionByName(cut.select(*df.columns))
 

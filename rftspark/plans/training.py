@@ -12,6 +12,7 @@ from ..operators.packing import assemble_packs, assign_packs
 from ..operators.prompts import render, template_table
 from ..operators.ranking import shuffled
 from ..operators.tokens import EOS, PAD_ID, pad_right, sources_and_targets, supervised
+from ..runtime import pinned
 from ..sources.files import materialized
 
 
@@ -75,5 +76,8 @@ def build(
     if pack_len is None or pack_len <= 0:
         padded = pad_right(union, pad_id)
         return padded if seed is None or seed < 0 else shuffled(padded, "id", seed)
+    if not options.get("cache_home"):
+        # Read twice, for lengths and for arrays: tokenized once.
+        union = pinned(union)
     lengths = union.select("id", F.size("input_ids").alias("len"))
     return assemble_packs(union, assign_packs(lengths, pack_len, seed, mode), pack_len, pad_id)

@@ -47,13 +47,14 @@ def write_parquet(df: DataFrame, path: str, append: bool = False) -> None:
 def scan_runs(
     spark: SparkSession, dirs: list[str], schema: T.StructType, name_pattern: str = ".*", recursive: bool = False
 ) -> DataFrame:
-    """All files of some directories whose name matches from its start; adds ``file_name``.
+    """All files of some directories whose name matches from its start; adds ``file_name``, ``file_block``.
 
     The name test is on file metadata, which Spark uses to skip files before reading them.
     """
     reader = spark.read.schema(schema).option("recursiveFileLookup", recursive)
     name = F.col("_metadata.file_name")
-    return reader.json(dirs).filter(name.rlike(f"^(?:{name_pattern})")).withColumn("file_name", name)
+    scan = reader.json(dirs).filter(name.rlike(f"^(?:{name_pattern})"))
+    return scan.withColumns({"file_name": name, "file_block": F.col("_metadata.file_block_start")})
 
 
 def rows_per_file(scan: DataFrame) -> DataFrame:
