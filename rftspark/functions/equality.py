@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from . import sqltext as F
 from .normalize import ARRAY_START, distinct_elements, unwrap_all
@@ -160,7 +160,9 @@ def _verdict(correct: Sql | bool, tier: str) -> Sql:
     return F.struct(value.alias("correct"), F.lit(tier).alias("match_tier"))
 
 
-def _cheap_tiers(ref, ref_norm, ref_num, pred, pred_norm, tol: Tolerance) -> Sql:
+def _cheap_tiers(
+    ref: Sql, ref_norm: Sql, ref_num: Sql, pred: Sql, pred_norm: Sql, wants_set: Sql, tol: Tolerance
+) -> Sql:
     """Dates, rejected answers, equal texts and plain numbers; NULL leaves it open."""
     # Both must look like dates before either is parsed.
     dates = (
@@ -179,7 +181,7 @@ def _cheap_tiers(ref, ref_norm, ref_num, pred, pred_norm, tol: Tolerance) -> Sql
         .when(dates, _verdict(True, "datetime"))
         .when(blocked, _verdict(False, "rejected"))
         .when(F.lower(pred_norm) == F.lower(ref_norm), _verdict(True, "literal"))
-        .when(F.col("_set_mode"), F.lit(None))
+        .when(wants_set, F.lit(None))
         .when(close(r, p, tol.rel, tol.abs), _verdict(True, "numeric"))
         .when(percent_equal(r, p, tol), _verdict(True, "percent"))
         # Two unequal plain numbers cannot become equal further down.
@@ -198,33 +200,43 @@ def add_verdict(
     """
     a, b = F.col(ref_norm), F.col(pred_norm)
     before = df.columns
+    both = F.array(a, b)
+    sets, values, intervals, tables = (F.col(n) for n in ("_sets", "_values", "_intervals", "_tables"))
 
-    def parsed(frame: DataFrame, name: str, condition: Sql, expression, sides: Sql) -> DataFrame:
+    def parsed(condition: Sql, expression) -> Column:
         """Both sides parsed by one copy of the expression, where ``condition`` holds."""
-        return frame.withColumn(name, F.when(condition, F.transform(sides, expression)).column())
-
-    both = F.array(a, b)
-    open_ = F.col("_open")
-    df = df.withColumn("_set_mode", F.coalesce(set_mode, F.lit(False)).column())
-    df = df.withColumn("_v", _cheap_tiers(F.col(ref), a, F.col(ref_num), F.col(pred), b, tol).column())
-    df = df.withColumn("_open", (F.isnull(F.col("_v")) & F.isnotnull(F.col(ref))).column())
-    df = parsed(df, "_s", open_ & F.col("_set_mode"), distinct_elements, both)
-    df = df.withColumn("_open", (open_ & ~F.col("_set_mode")).column())
-    df = parsed(df, "_n", open_, any_value, both)
-    values = F.col("_n")
-    df = df.withColumn("_open", (open_ & ~number_equal(values[0], values[1], tol)).column())
-    df = parsed(df, "_i", open_, intervals_of, both)
-    df = parsed(df, "_m", open_, table_text, both)
-    df = parsed(df, "_t", open_, table_cells, F.col("_m"))
-    sets, intervals, tables = F.col("_s"), F.col("_i"), F.col("_t")
+        return F.when(condition, F.transform(both, expression)).column()
 
     def known(pair: Sql) -> Sql:
         return F.isnotnull(pair[0]) & F.isnotnull(pair[1])
 
+    # Few projections: each one is analysed as a whole.
+    wants_set = F.coalesce(set_mode, F.lit(False))
+    df = df.withColumns(
+        {
+            "_set_mode": wants_set.column(),
+            "_v": _cheap_tiers(F.col(ref), a, F.col(ref_num), F.col(pred), b, wants_set, tol).column(),
+        }
+    )
+    undecided = F.isnull(F.col("_v")) & F.isnotnull(F.col(ref))
+    df = df.withColumns(
+        {
+            "_sets": parsed(undecided & F.col("_set_mode"), distinct_elements),
+            "_values": parsed(undecided & ~F.col("_set_mode"), any_value),
+        }
+    )
+    same_value = number_equal(values[0], values[1], tol)
+    still_open = undecided & ~F.col("_set_mode") & ~same_value
+    df = df.withColumns(
+        {
+            "_intervals": parsed(still_open, intervals_of),
+            "_tables": parsed(still_open, lambda c: let(table_text(c), table_cells)),
+        }
+    )
     verdict = (
-        F.when(F.isnotnull(F.col("_v")) | F.isnull(F.col(ref)), F.col("_v"))
+        F.when(~undecided, F.col("_v"))
         .when(F.col("_set_mode"), _verdict(set_equal(sets[0], sets[1], tol), "set"))
-        .when(~open_, _verdict(True, "closed_form"))
+        .when(same_value, _verdict(True, "closed_form"))
         .when(interval_equal(intervals[0], intervals[1], tol), _verdict(True, "interval"))
         .when(table_equal(tables[0], tables[1], tol), _verdict(True, "elementwise"))
         .when(known(values), _verdict(False, "closed_form"))
@@ -232,5 +244,4 @@ def add_verdict(
         .when(known(tables), _verdict(False, "elementwise"))
         .otherwise(_verdict(False, "none"))
     )
-    df = df.withColumn("_v", verdict.column())
-    return df.select(*before, "_v.correct", "_v.match_tier")
+    return df.select(*before, verdict.column().alias("_v")).select(*before, "_v.correct", "_v.match_tier")

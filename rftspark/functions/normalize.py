@@ -375,6 +375,6 @@ def normalize(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     All columns run through one copy of the expression.
     """
     texts = F.array(*[F.col(c) for c in columns])
-    df = df.withColumn("_normal", F.transform(texts, normal_answer).column())
-    found = {target: F.col("_normal")[i].column() for i, target in enumerate(columns.values())}
-    return df.withColumns(found).drop("_normal")
+    kept = [c for c in df.columns if c not in columns.values()]
+    found = [F.col("_normal")[i].column().alias(target) for i, target in enumerate(columns.values())]
+    return df.select("*", F.transform(texts, normal_answer).column().alias("_normal")).select(*kept, *found)
