@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,9 +32,15 @@ def build_session(app: str = "rftspark", master: str | None = None, **conf: str)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a private one only where none is configured."""
+    """The shared folder that the session names.
+
+    A session on one machine without such a setting gets a private folder; on a cluster a
+    missing setting is an error, because executors do not see each other's disks.
+    """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="rftspark-")
         spark.conf.set(CHECKPOINT_CONF, root)
     return root
