@@ -29,3 +29,18 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
     done = remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query()
+def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    done = dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query()
+def op10_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf, "documents"))

@@ -141,3 +141,13 @@ def run_rounds(chunks: DataFrame, steps: list[tuple[Callable, Callable]], last:
         reply = applied(send, SENT).groupBy("bucket").applyInArrow(judged(rnd, judge), REPLY)
         replies = reply if replies is None else replies.unionByName(reply)
     return applied(last, schema)
+
+
+def unpacked(done: DataFrame, docs: DataFrame, id_col: str, text_col: str, named: tuple[str, ...]) -> DataFrame:
+    """The columns of ``docs`` in their order, less those named like a result, then the results."""
+    columns = [
+        F.col("k").cast(docs.schema[c].dataType).alias(c) if c == id_col else F.col("t").alias(c) if c == text_col
+        else F.col(f"rest.`{c}`").alias(c)
+        for c in docs.columns if c not in named
+    ]
+    return done.select(*columns, *named)

@@ -204,9 +204,4 @@ def remove_repeats(
          T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
     )
     done = R.run_rounds(chunks, [(anchors, _seen_twice), (windows, _not_earliest)], kept, schema)
-    named = {"n_words", "n_removed"}
-    columns = [
-        F.col("k").alias(c) if c == id_col else F.col("t").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c)
-        for c in docs.columns if c not in named
-    ]
-    return done.select(*columns, "n_words", "n_removed")
+    return R.unpacked(done, docs, id_col, text_col, ("n_words", "n_removed"))
