@@ -44,3 +44,32 @@ def op10_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     from .simhash import near_duplicates
 
     return near_duplicates(table(spark, sf, "documents"))
+
+
+@query()
+def op2_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op3_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encoded
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    done = encoded(table(spark, sf, "documents"), path, public_tokenizers.PATTERN, with_ids=False)
+    return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query()
+def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import token_counts
+
+    return token_counts(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
