@@ -73,3 +73,27 @@ def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     from .bpe import token_counts
 
     return token_counts(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def remainder(n: int, column: str = "doc_id"):
+    """crc32 of the id as text, modulo ``n``; -1 for a null id."""
+    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n)), F.lit(-1))
+
+
+@query()
+def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    from .language import identify, profiles
+
+    docs = table(spark, sf, "documents")
+    learned = profiles(docs.filter(~remainder(4).isin(2, -1)), "text", "lang")
+    done = identify(docs, learned)
+    return done.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op6_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    from .quality import learned, scored
+
+    docs = table(spark, sf, "documents")
+    model = learned(docs, table(spark, sf, "labels"), "coalesce(crc32(cast(doc_id as string)) % 5, 0) <> 0")
+    return scored(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
