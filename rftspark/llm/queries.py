@@ -97,3 +97,10 @@ def op6_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = learned(docs, table(spark, sf, "labels"), "coalesce(crc32(cast(doc_id as string)) % 5, 0) <> 0")
     return scored(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op7_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    from .imatch import fingerprints
+
+    return fingerprints(table(spark, sf, "documents"))
