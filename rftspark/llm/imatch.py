@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: One term in so many is in a lexicon, for each of the lexicons.
-SUBSETS = (4,) * 6 + (12,) * 8 + (36,) * 10 + (108,) * 8
+SUBSETS = (8,) * 4 + (32,) * 12 + (128,) * 16
 #: Band of ln(documents / documents with the term). As document frequencies add up to the
 #: mean number of distinct terms m times the documents, at most 1000 m terms are inside.
 BAND = (2.3, 6.9)

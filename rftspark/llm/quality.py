@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bound of the texts of either kind that the scorer is fitted on, by order of a hash.
 SAMPLE = 6_000
@@ -115,20 +116,27 @@ def learned(
 
 def scored(
     docs: DataFrame, model: tuple | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3,
+    keep: bool = False,
 ) -> DataFrame:
     """(id, score, predicted) of every row of ``docs`` from its text alone.
 
     Null and empty texts get the score of an empty text; without a model every score is
-    0.5. Other columns are left out; repeated rows each get a row.
+    0.5. Other columns are left out, or with ``keep`` stay (but for those named like a
+    result); repeated rows each get a row.
     """
+    named = ("score", "predicted")
+    names = [c for c in docs.columns if c not in named] if keep else [id_col, text_col]
+    at = names.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([features(t) for t in b.column(1).to_pylist()]).reshape(len(b), WIDTH)
+            x = np.array([features(t) for t in b.column(at).to_pylist()]).reshape(len(b), WIDTH)
             s = np.full(len(b), 0.5) if model is None else 1 / (1 + np.exp(-np.clip(expanded(x, *model[:4]) @ model[4], -40, 40)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["k", "score", "predicted"]
-            )
-
-    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-    return rows.mapInArrow(work, "k long, score double, predicted int").withColumnRenamed("k", id_col)
+            cols = [c for i, c in enumerate(b.columns) if keep or i != at]
+            cols += [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, [*(n for n in names if keep or n != text_col), *named])
+
+    rows = docs.select(*[F.col(f"`{c}`") for c in names])
+    kinds = [f for f in rows.schema.fields if keep or f.name != text_col]
+    schema = T.StructType([*kinds, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return rows.mapInArrow(work, schema)

@@ -104,3 +104,17 @@ def op7_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     from .imatch import fingerprints
 
     return fingerprints(table(spark, sf, "documents"))
+
+
+@query()
+def op5_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf, "embeddings"))
+
+
+@query()
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf)
