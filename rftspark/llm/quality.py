@@ -107,10 +107,13 @@ def learned(
     share = rows.select("k").join(marked, "k").agg(F.avg((F.col("y") == 1).cast("double"))).first()[0]
     if not share:
         return None
-    keyed = rows.select("k", "t", order.alias("o"))
-    plain = keyed.orderBy("o").limit(sample)
-    good = keyed.join(marked.filter("y = 1").select("k"), "k", "left_semi").orderBy("o").limit(sample)
-    x = [np.array([r["x"] for r in featured(s.select("k", "t"), ["k"]).collect()]) for s in (good, plain)]
+    keyed = rows.select("k", order.alias("o"))  # texts stay where they are; the chosen keys, at most ``sample``, go to them
+    plain = keyed.distinct().orderBy("o").limit(sample)
+    good = keyed.distinct().join(marked.filter("y = 1").select("k"), "k", "left_semi").orderBy("o").limit(sample)
+    x = []
+    for chosen in (good, plain):
+        texts = rows.withColumn("o", order).join(F.broadcast(chosen), ["k", "o"], "left_semi").dropDuplicates(["k", "o"])
+        x.append(np.array([r["x"] for r in featured(texts.select("k", "t"), ["k"]).orderBy("k").collect()]))
     return fit(*x, min(share, 0.99))
 
 
