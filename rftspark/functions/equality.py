@@ -55,10 +55,10 @@ def same_element(ref: Sql, pred: Sql, tol: Tolerance = DEFAULT) -> Sql:
 
 
 def set_equal(ref: Sql, pred: Sql, tol: Tolerance = DEFAULT) -> Sql:
-    """Two arrays of distinct elements: same size and every predicted one is found."""
-    return (F.size(ref) == F.size(pred)) & F.forall(
-        pred, lambda p: F.exists(ref, lambda r: same_element(r, p, tol))
-    )
+    """Two arrays of distinct elements: same size, and each has its like in the other."""
+    found = F.forall(pred, lambda p: F.exists(ref, lambda r: same_element(r, p, tol)))
+    met = F.forall(ref, lambda r: F.exists(pred, lambda p: same_element(r, p, tol)))
+    return (F.size(ref) == F.size(pred)) & found & met
 
 
 def _cell(c: Sql) -> Sql:

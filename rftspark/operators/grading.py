@@ -68,7 +68,7 @@ def grade(
     mode: str = "auto",
     tol: Tolerance = DEFAULT,
     strict: bool = False,
-    dedup: bool = True,
+    dedup: bool = False,
     evaluator: Callable[[DataFrame], DataFrame] | None = None,
     hot_rows: int = 1_000_000,
 ) -> DataFrame:

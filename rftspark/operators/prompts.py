@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..runtime import broadcast_if_small
 
 DEFAULT_TEMPLATE = "alpaca"
 _ALPACA = "Below is an instruction that describes a task. Write a response that appropriately completes the request.\n\n"
@@ -121,8 +120,8 @@ def examples_for(df: DataFrame, examples: DataFrame, shots: DataFrame) -> DataFr
 
     ``examples`` has one row (dataset, examples ARRAY<STRUCT<q, a>>) per dataset.
     """
-    listed = broadcast_if_small(examples.withColumnRenamed("examples", "_all"), 10_000)
-    joined = df.join(broadcast_if_small(shots, 10_000), "dataset", "left").join(listed, "dataset", "left")
+    listed = examples.withColumnRenamed("examples", "_all")
+    joined = df.join(shots, "dataset", "left").join(listed, "dataset", "left")
     n = example_count(F.col("n_shots"), F.col("agent"), F.col("default_shots"))
     none = F.array().cast("array<struct<q:string,a:string>>")
     chosen = F.when(F.col("_n") == 0, none).otherwise(F.slice("_all", F.lit(1), F.col("_n")))

@@ -83,6 +83,15 @@ def replay(
     going = rule(
         F.col("trial") - 1 + t0, F.col("corrects_before") + c0, F.lit(max_n_trials), F.lit(min_n_corrects)
     ).isNull()
+    if rule is not stop_reason:
+        # A rule of one's own may hold again later; a query that stopped stays stopped.
+        names = [f"_by{i}" for i in range(len(by))]
+        stops = ranked.filter(~going).groupBy(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)]).agg(
+            F.min("trial").alias("_stop")
+        )
+        same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names, strict=True)]
+        ranked = ranked.join(stops, same, "left").filter(F.col("_stop").isNull() | (F.col("trial") < F.col("_stop")))
+        return ranked.drop("_batch", "_stop", *names)
     return ranked.filter(going).drop("_batch")
 
 

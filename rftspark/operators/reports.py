@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import broadcast_if_small
 
 PERCENTILES = (0.01, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5)
 
@@ -52,13 +51,16 @@ def histogram(df: DataFrame, column: str, bins: int = 100) -> DataFrame:
     )
 
 
-def with_level(df: DataFrame, levels: DataFrame, key: str = "query") -> DataFrame:
-    """Left lookup of ``level`` by trimmed text, 0 where there is none."""
+def with_level(df: DataFrame, levels: DataFrame, key: str = "query", order: str | None = None) -> DataFrame:
+    """Left lookup of ``level`` by trimmed text, 0 where there is none.
+
+    Of several levels for one trimmed text the last by the column ``order`` counts, without
+    one the largest; a response is never repeated.
+    """
     text = F.regexp_replace(F.col(key), r"^\s+|\s+$", "")
-    levels = levels.select(F.col(key).alias("_key"), F.col("level").alias("_level"))
-    joined = df.drop("level").withColumn(key, text).join(
-        broadcast_if_small(levels), F.col(key) == F.col("_key"), "left"
-    )
+    level = F.max_by("level", order) if order else F.max("level")
+    levels = levels.groupBy(text.alias("_key")).agg(level.alias("_level"))
+    joined = df.drop("level").withColumn(key, text).join(levels, F.col(key) == F.col("_key"), "left")
     return joined.withColumn("level", F.coalesce(F.col("_level"), F.lit(0))).drop("_key", "_level")
 
 

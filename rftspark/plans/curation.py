@@ -44,17 +44,17 @@ def curate(
 ) -> Curated:
     """Scan graded runs and keep ``k_u`` corrects per query (or, with ``k_p``, by difficulty).
 
-    Arrival order is file name, then position in the file.
+    Arrival order is file name, then path, then position in the file.
     """
     scan = scan_runs(spark, dirs, schema, name_pattern).withColumn("row_no", F.monotonically_increasing_id())
-    order = ["file_name", "file_block", "row_no"]
+    order = ["file_name", "file_path", "file_block", "row_no"]
     if k_p is None:
         chosen = uniform_quota(scan, ["query"], order, k_u)
     else:
         chosen = proportional_quota(scan, ["query"], order, k_p)
     counts = corrects_per_query(scan, ["query"])
     if out:
-        write_jsonl(chosen.drop(*order), out)
+        write_jsonl(chosen.drop(*order, "file_path"), out)
     return Curated(
         chosen=chosen,
         per_file=rows_per_file(scan),

@@ -1,4 +1,4 @@
-"""Session settings, shared scratch tables and size checks used by every job."""
+"""Session settings and shared scratch tables used by every job."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 GROUP_LIMIT_CONF = "spark.sql.optimizer.windowGroupLimitThreshold"
@@ -70,13 +69,3 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only when a bounded count shows that ``df`` is small.
-
-    The count stops after ``max_rows + 1`` rows; beyond it the join stays with the
-    shuffle strategies (and the skew handling) of adaptive execution.
-    """
-    few = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df

@@ -47,18 +47,21 @@ def write_parquet(df: DataFrame, path: str, append: bool = False) -> None:
 def scan_runs(
     spark: SparkSession, dirs: list[str], schema: T.StructType, name_pattern: str = ".*", recursive: bool = False
 ) -> DataFrame:
-    """All files of some directories whose name matches from its start; adds ``file_name``, ``file_block``.
+    """All files of some directories whose name matches from its start; adds ``file_path``, ``file_name``, ``file_block``.
 
     The name test is on file metadata, which Spark uses to skip files before reading them.
     """
     reader = spark.read.schema(schema).option("recursiveFileLookup", recursive)
     name = F.col("_metadata.file_name")
     scan = reader.json(dirs).filter(name.rlike(f"^(?:{name_pattern})"))
-    return scan.withColumns({"file_name": name, "file_block": F.col("_metadata.file_block_start")})
+    return scan.withColumns(
+        {"file_path": F.col("_metadata.file_path"), "file_name": name, "file_block": F.col("_metadata.file_block_start")}
+    )
 
 
 def rows_per_file(scan: DataFrame) -> DataFrame:
-    return scan.groupBy("file_name").agg(F.count(F.lit(1)).alias("n"))
+    """Rows of each file; files of one name in two folders are two files."""
+    return scan.groupBy("file_path", "file_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def split_ranges(df: DataFrame, order: list[str], rows: int) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.ranking import keep_latest
-from ..runtime import broadcast_if_small
 
 # FIXED VALUES: the wording and parameters of a request.
 SYSTEM_TEXT = (
@@ -90,7 +89,7 @@ def with_reference(outputs: DataFrame, answers: DataFrame, order: list[str]) ->
     """Join the reference answer by trimmed query; of several the last one counts."""
     key = trimmed(F.col("query"))
     last = keep_latest(answers.select(key.alias("_key"), F.col("ref_ans"), *order), ["_key"], order)
-    last = broadcast_if_small(last.select("_key", "ref_ans"))
+    last = last.select("_key", "ref_ans")
     return outputs.join(last, key == F.col("_key")).drop("_key")
 
 
