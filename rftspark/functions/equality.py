@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,9 +29,9 @@ DEFAULT = Tolerance()
 
 
 def close(a: Sql, b: Sql, rel: float, absolute: float) -> Sql:
-    return F.abs(a - b) <= F.greatest(
-        F.lit(rel) * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute)
-    )
+    limit = F.greatest(F.lit(rel) * F.greatest(F.abs(a), F.abs(b)), F.lit(absolute))
+    # Digits without end read as infinity, which is near no number.
+    return F.abs(a - b) <= F.least(limit, F.lit(sys.float_info.max))
 
 
 def could_be_percent(v: Sql) -> Sql:
@@ -55,10 +56,20 @@ def same_element(ref: Sql, pred: Sql, tol: Tolerance = DEFAULT) -> Sql:
 
 
 def set_equal(ref: Sql, pred: Sql, tol: Tolerance = DEFAULT) -> Sql:
-    """Two arrays of distinct elements: same size, and each has its like in the other."""
-    found = F.forall(pred, lambda p: F.exists(ref, lambda r: same_element(r, p, tol)))
-    met = F.forall(ref, lambda r: F.exists(pred, lambda p: same_element(r, p, tol)))
-    return (F.size(ref) == F.size(pred)) & found & met
+    """Two arrays of one size whose elements match one to one.
+
+    Every predicted element takes the first reference element that is like it and still free.
+    """
+
+    def take(free: Sql, p: Sql) -> Sql:
+        likes = F.transform(free, lambda r: F.coalesce(same_element(r, p, tol), F.lit(False)))
+        return let(
+            F.array_position(likes, F.lit(True)),
+            # Without a like nothing is taken, so something is left over at the end.
+            lambda at: F.when(at == 0, free).otherwise(F.filter(free, lambda _, i: i != at - 1)),
+        )
+
+    return (F.size(ref) == F.size(pred)) & (F.size(F.aggregate(pred, ref, take)) == 0)
 
 
 def _cell(c: Sql) -> Sql:

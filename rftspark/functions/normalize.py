@@ -26,29 +26,59 @@ def _sub(c: Sql, pattern: str, replacement: str) -> Sql:
     return F.regexp_replace(c, pattern, replacement)
 
 
-def unwrap_once(c: Sql) -> Sql:
-    """Remove one pair of parentheses, plain or escaped, when it encloses the whole text."""
-    left = F.regexp_extract(c, r"^\\?[(\[{]", 0)
-
-    def unwrapped(l: Sql, r: Sql) -> Sql:
-        inner = F.substring(c, F.length(l) + 1, F.length(c) - 2 * F.length(l))
-        # Plain ones also count behind a backslash.
-        marks = F.regexp_extract_all(
-            inner, F.when(F.length(l) == 2, r"\\[()\[\]{}]").otherwise(r"[()\[\]{}]"), 0
-        )
-        # The opening one must stay open over the whole inner text.
-        depth = F.aggregate(
-            marks,
-            F.lit(1),
-            lambda d, t: F.when(d == 0, d).when(t == l, d + 1).when(t == r, d - 1).otherwise(d),
+_LEFT_RUN = r"(?:\\\()++|(?:\\\[)++|(?:\\\{)++|\(++|\[++|\{++"
+_RIGHT_RUN = r"^(?:\)++|\]++|\}++)"
+_RIGHT_RUN_ESCAPED = r"^(?:(?:\)\\)++|(?:\]\\)++|(?:\}\\)++)"
+
+
+def unwrap_run(c: Sql) -> Sql:
+    """Remove the pairs that enclose the whole text and open with equal leading parentheses, plain or escaped.
+
+    One pass, however many pairs there are. With m equal parentheses on either side of a
+    middle part that closes as many as it opens, all but those pairs enclose the text that
+    the middle part closes before it opens them again.
+    """
+
+    def cut(k: Sql) -> Sql:
+        return F.substring(c, k + 1, F.length(c) - 2 * k)
+
+    def unwrapped(run: Sql, l: Sql) -> Sql:
+        r = F.translate(l, "([{", ")]}")
+        back = F.regexp_extract(
+            F.reverse(c), F.when(F.length(l) == 2, _RIGHT_RUN_ESCAPED).otherwise(_RIGHT_RUN), 0
         )
-        return F.when(
-            F.endswith(c, r) & (F.length(c) >= 2 * F.length(l)), F.when(depth == 1, inner)
+        # Characters, a multiple of the length of one parenthesis.
+        sides = let(
+            back,
+            lambda b: F.when(F.startswith(b, F.reverse(r)), F.least(F.length(run), F.length(b))).otherwise(0),
         )
 
-    return F.when(c.rlike(r"^\\?[(\[{]"), F.coalesce(
-        let(left, lambda l: let(F.translate(l, "([{", ")]}"), lambda r: unwrapped(l, r))), c
-    )).otherwise(c)
+        def layers(m: Sql) -> Sql:
+            # Plain ones also count behind a backslash.
+            marks = F.regexp_extract_all(
+                cut(m), F.when(F.length(l) == 2, r"\\[()\[\]{}]").otherwise(r"[()\[\]{}]"), 0
+            )
+            depth = F.aggregate(
+                marks,
+                F.struct(F.lit(0).alias("now"), F.lit(0).alias("low")),
+                lambda d, t: let(
+                    d["now"] + F.when(t == l, 1).when(t == r, -1).otherwise(0),
+                    lambda now: F.struct(now.alias("now"), F.least(now, d["low"]).alias("low")),
+                ),
+            )
+            enclosing = let(
+                depth,
+                lambda d: F.when(d["now"] == 0, F.greatest(m + d["low"] * F.length(l), F.lit(0))).otherwise(0),
+            )
+            return let(enclosing, cut)
+
+        return let(sides, lambda m: F.when(m == 0, c).otherwise(layers(m)))
+
+    run = F.regexp_extract(c, f"^(?:{_LEFT_RUN})", 0)
+    one = lambda x: F.substring(x, F.lit(1), F.when(F.startswith(x, "\\"), 2).otherwise(1))
+    return F.when(
+        c.rlike(r"^\\?[(\[{]"), let(run, lambda x: let(one(x), lambda l: unwrapped(x, l)))
+    ).otherwise(c)
 
 
 def unwrap_all(c: Sql) -> Sql:
@@ -56,10 +86,10 @@ def unwrap_all(c: Sql) -> Sql:
     return let(
         c,
         lambda s: let(
-            # Every round removes one of the leading parentheses.
-            F.length(F.regexp_extract(s, r"^(?:\\?[(\[{])+", 0)),
+            # Every round removes what it can of one run of equal leading parentheses.
+            F.size(F.regexp_extract_all(F.regexp_extract(s, r"^(?:\\?[(\[{])++", 0), _LEFT_RUN, 0)),
             lambda n: F.when(n == 0, s).otherwise(
-                F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), s, lambda acc, _: unwrap_once(acc))
+                F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), s, lambda acc, _: unwrap_run(acc))
             ),
         ),
     )
@@ -148,7 +178,7 @@ def drop_styles(c: Sql) -> Sql:
 def degrees(c: Sql) -> Sql:
     c = F.replace(c, F.lit("rad"), F.lit(""))
     c = _sub(c, r"^(\d+) ?\^?\\?circ$", "$1")
-    return _sub(c, r"(\d+) ?\^?\\?circ", r"{$1*\\frac{\\pi}{180}}")
+    return _sub(c, r"(?<!\d)(\d++) ?\^?\\?circ", r"{$1*\\frac{\\pi}{180}}")
 
 
 def function_powers(c: Sql) -> Sql:
@@ -159,7 +189,7 @@ def function_powers(c: Sql) -> Sql:
 
 def drop_units(c: Sql) -> Sql:
     for unit in ("|".join(fixed.UNITS), r"a\.?m\.?", r"p\.?m\.?"):
-        c = _sub(c, rf"([-\d.*^{{}}]+)(?:{unit})e?s?$", "$1")
+        c = _sub(c, rf"(?<![-\d.*^{{}}])([-\d.*^{{}}]++)(?:{unit})e?s?$", "$1")
     return c
 
 
@@ -187,7 +217,7 @@ def _imaginary_unit(c: Sql) -> Sql:
 
 
 def _zeros_and_units(c: Sql) -> Sql:
-    return drop_units(_sub(_sub(c, r"(\d+)\.0+([^\d])", "$1$2"), r"(\d+)\.0+$", "$1"))
+    return drop_units(_sub(_sub(c, r"(?<=\d)\.0+([^\d])", "$1"), r"(?<=\d)\.0+$", ""))
 
 
 def _leading_point(c: Sql) -> Sql:
@@ -246,7 +276,7 @@ def plus_minus(c: Sql) -> Sql:
 def _equalities(c: Sql) -> Sql:
     variable = (
         rf"^([a-z]|[A-Z]{{2}}|\\?({fixed.VARIABLE_NAMES}))"
-        r"\^?\{?-?('|\\prime|\d)*\}?(\(-?([\d.]+|[a-z])?\))?$"
+        r"\^?\{?-?(?:'|\\prime|\d)*+\}?(\(-?([\d.]+|[a-z])?\))?$"
     )
 
     def two_sided(s: Sql, parts: Sql) -> Sql:

@@ -14,8 +14,9 @@ FLOAT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _POWER = r"(?:\^(?:\{-?\d+(?:\.\d+)?\}|\d))?"
 _NUMBER = r"(?:\d+(?:\.\d+)?|\\pi)" + _POWER
 _FLAT = r"\{[^{}]*\}"
-_NESTED = r"\{(?:[^{}]|\{[^{}]*\})*\}"
-_DEEP = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
+# Possessive: a repeated group that may give back text recurses once per repeat in the JVM.
+_NESTED = r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
+_DEEP = rf"\{{[^{{}}]*+(?:{_NESTED}[^{{}}]*+)*+\}}"
 _ROOT = r"\\sqrt(?:\[\d+\])?" + _NESTED + _POWER
 _RATIO = r"\\frac" + _DEEP + _DEEP + _POWER
 
@@ -136,7 +137,7 @@ def closed_form_value(c: Sql) -> Sql:
 def thousands_value(c: Sql) -> Sql:
     """DOUBLE of ``1,234,567``; NULL for text without such groups."""
     return F.when(
-        c.rlike(r"^[+-]?\d{1,3}(,\d{3})+(\.\d+)?$"), F.replace(c, F.lit(","), F.lit("")).try_cast("double")
+        c.rlike(r"^[+-]?\d{1,3}(?:,\d{3})++(\.\d+)?$"), F.replace(c, F.lit(","), F.lit("")).try_cast("double")
     )
 
 

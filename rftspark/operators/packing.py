@@ -82,10 +82,13 @@ def assign_packs(
 ) -> DataFrame:
     """(``id``, ``len``) → ``pack_id``, ``pos``, ``offset``: next-fit in seeded order (by id without seed).
 
-    ``exact`` equals one sequential pass. ``sharded`` packs every stretch on its own, which saves one
-    step and costs at most one extra pack per stretch. Sequences longer than ``pack_len``
-    or empty are an error.
+    ``exact`` equals one sequential pass, whatever the number of stretches. ``sharded`` packs every
+    stretch on its own, which saves one step and costs at most one extra pack per stretch; its
+    result depends on ``stretches``, which must be given. Sequences longer than ``pack_len`` or
+    empty are an error.
     """
+    if mode == "sharded" and stretches is None:
+        raise ValueError("sharded packing needs the number of stretches")
     spark = lengths.sparkSession
     narrow = checked_lengths(lengths.select(F.col("id").cast("string"), F.col("len").cast("int")), pack_len)
     order = order_hash(F.col("id"), seed) if seed is not None and seed >= 0 else F.col("id")

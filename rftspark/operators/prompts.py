@@ -77,6 +77,22 @@ def template_table(spark: SparkSession, extra: list[tuple] | None = None) -> Dat
     return spark.createDataFrame([*TEMPLATES, *(extra or [])], schemas.TEMPLATE)
 
 
+def read_templates(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Templates from JSON files of one object each; add them to ``template_table``.
+
+    The id is the path as given, so a row may name its template by id or by path. A text
+    that a file leaves out is that of the default template.
+    """
+    default = dict(zip(schemas.TEMPLATE_TEXTS, next(t for t in TEMPLATES if t[0] == DEFAULT_TEMPLATE)[1:], strict=True))
+    texts = [F.coalesce(F.col(name), F.lit(default[name])).alias(name) for name in schemas.TEMPLATE_TEXTS]
+    schema = ", ".join(f"{name} string" for name in schemas.TEMPLATE_TEXTS)
+    out = template_table(spark).limit(0)
+    for path in paths:
+        read = spark.read.schema(schema).option("multiLine", True).json(path)
+        out = out.unionByName(read.select(F.lit(path).alias("id"), *texts))
+    return out
+
+
 def shots_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(DEFAULT_SHOTS.items()), "dataset string, default_shots int")
 
@@ -96,12 +112,18 @@ def template_id(prompt_type: Column, agent: Column) -> Column:
 
 
 def choose_template(df: DataFrame, prompt_type: str | Column = "cot") -> DataFrame:
-    """Add ``prompt_template`` and ``response_start`` (an override, else NULL) per row."""
+    """Add ``prompt_template`` and ``response_start`` (an override, else NULL) per row.
+
+    A tool prompt for a model without one is an error.
+    """
     kind = F.lit(prompt_type) if isinstance(prompt_type, str) else prompt_type
     agent = F.col("agent")
+    message = F.concat(F.lit("no tool template for the model "), F.coalesce(agent, F.lit("NULL")))
+    chosen = template_id(kind, agent)
+    unknown = (kind == "tool") & chosen.isNull()
     return df.withColumns(
         {
-            "prompt_template": template_id(kind, agent),
+            "prompt_template": F.when(unknown, F.raise_error(message).cast("string")).otherwise(chosen),
             "response_start": F.when(agent.contains("MMIQC"), F.lit(ANSWER_REQUEST)),
         }
     )

@@ -34,12 +34,13 @@ def examples_of(
     eos: str = EOS,
     pad_id: int = PAD_ID,
     make_encoder: Callable | None = None,
-    tokenizer_name: str = "words",
+    tokenizer_name: str | None = None,
     cache_home: str | None = None,
 ) -> DataFrame:
     """Tokenized rows (id, input_ids, labels, attention_mask) of one dataset, cached on request.
 
-    The cache name holds everything the ids depend on.
+    The cache name holds everything the ids depend on but the rows themselves; an encoder of
+    one's own is told apart by ``tokenizer_name``, which it must have.
     """
     spark = source.rows.sparkSession
 
@@ -57,7 +58,12 @@ def examples_of(
 
     if not cache_home:
         return build()
-    return materialized(build, spark, cache_home, source.name, tokenizer_name, prompt_template, max_len)
+    if make_encoder is not None and tokenizer_name is None:
+        raise ValueError("a cached table of one's own encoder needs a tokenizer_name")
+    return materialized(
+        build, spark, cache_home, source.name, source.key, source.query, source.response,
+        tokenizer_name or "words", prompt_template, max_len, eos, pad_id,
+    )
 
 
 def build(
@@ -65,6 +71,7 @@ def build(
     pack_len: int | None = None,
     seed: int | None = 42,
     mode: str = "exact",
+    stretches: int | None = None,
     pad_id: int = PAD_ID,
     **options: object,
 ) -> DataFrame:
@@ -80,4 +87,4 @@ def build(
         # Read twice, for lengths and for arrays: tokenized once.
         union = pinned(union)
     lengths = union.select("id", F.size("input_ids").alias("len"))
-    return assemble_packs(union, assign_packs(lengths, pack_len, seed, mode), pack_len, pad_id)
+    return assemble_packs(union, assign_packs(lengths, pack_len, seed, mode, stretches), pack_len, pad_id)

@@ -63,9 +63,10 @@ def pinned(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give rows of a few large file splits to all cores before expensive work.
+    """Give rows of a few files to all cores before expensive work.
 
-    Tables with as many splits as cores, so all large ones, stay as they are.
+    Tables of as many files as cores, so all large ones, stay as they are. Looks at the
+    plan's files only; nothing runs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)

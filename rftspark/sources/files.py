@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,10 +125,12 @@ def materialized(df_of, spark: SparkSession, home: str, *key: object) -> DataFra
 
     ``df_of`` builds the table. A table without its success mark is built again.
     """
-    name = "-".join(str(part).replace("/", "--") for part in key)
-    path = f"{home.rstrip('/')}/{name}-tokenized"
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    mark = hadoop.Path(f"{path}/_SUCCESS")
-    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+    digest = hashlib.sha256(repr(key).encode()).hexdigest()[:16]
+    path = f"{home.rstrip('/')}/{str(key[0]).replace('/', '--')}-{digest}-tokenized"
+    try:
+        spark.read.text(f"{path}/_SUCCESS").schema  # noqa: B018  the path is looked up, no row is read
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         df_of().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

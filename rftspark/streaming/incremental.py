@@ -44,12 +44,19 @@ def stop_stream(
     order: list[str],
     max_n_trials: int,
     min_n_corrects: int,
+    status: DataFrame | None = None,
+    rule: Callable[[int, int], object] | None = None,
 ) -> DataFrame:
     """Per query and micro-batch: what was kept, and the counters behind it.
 
     State is one pair of counters per query. As in the batch replay, all responses of a
-    micro-batch see the corrects before it. Only keys, order and grade of a row go
-    through Python; ``kept_rows`` joins the texts.
+    micro-batch see the corrects before it. ``status`` (``by``, ``n_trials``, ``n_corrects``)
+    gives counters to start from, one row per query at most; other queries start at 0.
+    ``rule(trials, corrects)`` in place of the limit of corrects stops a query when it returns
+    something true; a stopped query stays stopped. Only keys, order and grade of a row go through Python.
+
+    With a trial limit a task holds no more rows of a query than it may still take. Without
+    one it holds one Arrow batch, and rows of a micro-batch are numbered as they arrive.
     """
     fields = [graded.schema[c] for c in by]
     order_fields = [graded.schema[c] for c in order]
@@ -62,35 +69,58 @@ def stop_stream(
             T.StructField("corrects_before", T.LongType()),
         ]
     )
+    names = out.fieldNames()
     state = T.StructType(
-        [T.StructField("n_trials", T.LongType()), T.StructField("n_corrects", T.LongType())]
+        [T.StructField("n_trials", T.LongType()), T.StructField("n_corrects", T.LongType()), T.StructField("stopped", T.BooleanType())]
     )
 
+    def stops(trials: int, corrects: int) -> bool:
+        enough = rule(trials, corrects) if rule is not None else 0 < min_n_corrects < corrects
+        return bool(enough) or 0 < max_n_trials <= trials
+
     def advance(key: tuple, batches: Iterator[pd.DataFrame], counters: GroupState) -> Iterator[pd.DataFrame]:
-        trials, corrects = counters.get if counters.exists else (0, 0)
-        if 0 < min_n_corrects < corrects or 0 < max_n_trials <= trials:
-            for _ in batches:
-                pass
-            return
-        left = max_n_trials - trials if max_n_trials > 0 else None
+        trials = seen = gained = 0
+        stopped, started = False, False
         best: pd.DataFrame | None = None
+
+        def take(rows: pd.DataFrame) -> pd.DataFrame:
+            """The rows before the query stops, numbered; moves the counters."""
+            nonlocal trials, gained, stopped
+            n = len(rows)
+            if rule is not None or max_n_trials > 0:
+                n = next((i for i in range(n) if stops(trials + i, seen)), n)
+                stopped = stopped or n < len(rows)
+            rows = rows.head(n)
+            rows = rows.assign(trial=range(trials + 1, trials + 1 + n), corrects_before=seen)
+            trials, gained = trials + n, gained + int(rows["correct"].fillna(False).astype(bool).sum())
+            return rows[names]
+
         for pdf in batches:
-            # Never more rows in memory than the query may still take.
-            best = pdf if best is None else pd.concat([best, pdf])
-            best = best.sort_values(order, kind="stable")
-            if left is not None:
-                best = best.head(left)
-        if best is None:
-            return
-        seen = corrects
-        best = best.assign(
-            trial=range(trials + 1, trials + 1 + len(best)), corrects_before=seen
-        )
-        counters.update((trials + len(best), corrects + int(best["correct"].fillna(False).astype(bool).sum())))
-        yield best[[f.name for f in out.fields]]
+            if not started:
+                first = pdf.iloc[0]
+                old = counters.get if counters.exists else (int(first["_trials"]), int(first["_corrects"]), False)
+                (trials, seen), started = old[:2], True
+                stopped = bool(old[2]) or stops(trials, seen)
+            if stopped:
+                continue
+            pdf = pdf.sort_values(order, kind="stable")
+            if max_n_trials <= 0:
+                yield take(pdf)
+            else:
+                best = pdf if best is None else pd.concat([best, pdf]).sort_values(order, kind="stable")
+                best = best.head(max_n_trials - trials)
+        if best is not None:
+            yield take(best)
+        if started:
+            counters.update((trials, seen + gained, stopped))
 
     narrow = graded.select(*by, *order, "correct")
-    return narrow.groupBy(*by).applyInPandasWithState(
+    start = [F.lit(0).cast("long").alias("_trials"), F.lit(0).cast("long").alias("_corrects")]
+    if status is not None:
+        known = status.select(*by, F.col("n_trials").alias("_t"), F.col("n_corrects").alias("_c"))
+        narrow = narrow.join(known, by, "left")
+        start = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(n) for c, n in (("_t", "_trials"), ("_c", "_corrects"))]
+    return narrow.select(*by, *order, "correct", *start).groupBy(*by).applyInPandasWithState(
         advance, out, state, "append", GroupStateTimeout.NoTimeout
     )
 

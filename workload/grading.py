@@ -167,6 +167,25 @@ def grade_forms(spark, sf):
     return grading.grade(_form_responses(spark, sf), mode="math").select("resp_id", "form", "correct")
 
 
+@query("select doc_id, doc_id % 2 = 0 as correct from documents")
+def grade_long_answers(spark, sf):
+    """Answers as long as the documents: nested parentheses, a long ratio, a long sum of roots."""
+    text = """
+      select doc_id, 'math/train' as dataset, 'What is x?' as query, 'stop' as finish_reason,
+        case doc_id % 6 div 2
+          when 0 then cast(doc_id + off as string)
+          when 1 then concat(chr(92), 'frac{', w + 2 * off, '}{2}')
+          else cast(2 * w + off as string) end as ref_ans,
+        concat('The answer is ', chr(92), 'boxed{', case doc_id % 6 div 2
+          when 0 then concat(repeat('(', w), doc_id, repeat(')', w))
+          when 1 then concat(chr(92), 'frac{', repeat('1+', w - 1), '1}{2}')
+          else concat(repeat(concat(chr(92), 'sqrt{4}+'), w - 1), chr(92), 'sqrt{4}') end, '}') as resp
+      from (select doc_id, cast(doc_id % 2 as int) as off,
+              greatest(1, size(split(coalesce(text, ''), ' '))) as w from {documents}) t
+    """
+    return grading.grade(derived(spark, sf, text), mode="math").select("doc_id", "correct")
+
+
 @query("""
 select form, count(*) as n, cast(sum(case when same then 1 else 0 end) as bigint) as n_correct
 from {forms} f group by form

@@ -62,6 +62,20 @@ def few_shot_prompts(spark, sf):
     return prompts.render(with_examples, prompts.template_table(spark)).select("id", "prompt")
 
 
+@query("""
+select id, case turn % 4 when 0 then concat('Solve.', chr(10), 'Q: ', query, chr(10), 'A:') else rtrim(concat('User:', chr(10), query, chr(10), chr(10), 'Assistant:', chr(10)), ' ') end as prompt,
+  false as defaulted from {qa} q
+""")
+def template_from_file(spark, sf):
+    """A template by the path of its file, others by id."""
+    path = scratch_path(spark, "template")
+    texts = {"sys_prompt": "Solve.\n", "query_prompt": "Q: ", "prompt_after_query": "\n", "resp_prompt": "A: ", "prompt_before_resp": ""}
+    files.write_jsonl(spark.range(1).select(*[F.lit(v).alias(k) for k, v in texts.items()]), path)
+    known = prompts.template_table(spark).unionByName(prompts.read_templates(spark, [path]))
+    df = view(spark, sf, "qa").withColumn("prompt_template", F.when(F.col("turn") % 4 == 0, path).otherwise("qa"))
+    return prompts.render(df, known).select("id", "prompt", "defaulted")
+
+
 @query("""
 select o_orderkey, case o_custkey % 7 when 0 then 'qa' when 1 then 'deepseekmath' when 2 then 'xwinmath' when 3 then 'mammoth2-cot'
   when 4 then 'llama3-math' else 'alpaca' end as cot, case when o_custkey % 7 = 1 then 'deepseekmath-tool' end as tool,

@@ -250,21 +250,68 @@ def stream_grade(spark, sf):
     return _run(spark, graded)
 
 
+RESUMED = STREAMED + """, f as (select *, query_id % 70 as t0, query_id % 5 as c0 from c)
+select query_id, event_id, correct, rk + t0 as trial, cast(seen + c0 as bigint) as corrects_before from f where rk + t0 <= 60 and seen + c0 <= 3
+"""
+
+
+@query(RESUMED)
+def stream_stop_resumed(spark, sf):
+    """K2: counters of an earlier run to start from."""
+    path, schema = _trial_files(spark, sf)
+    arrivals = incremental.read_stream(spark, path, schema, "parquet", maxFilesPerTrigger=1)
+    status = view(spark, sf, "trials").select("query_id").distinct().withColumns(
+        {"n_trials": F.col("query_id") % 70, "n_corrects": F.col("query_id") % 5}
+    )
+    return _run(spark, incremental.stop_stream(arrivals, ["query_id"], ["event_id"], 60, 3, status=status))
+
+
+@query(STREAMED + ", k as (select *, row_number() over (partition by query_id order by batch, event_id) as n from c) "
+       "select query_id, event_id, correct, n as trial, cast(seen as bigint) as corrects_before from k where n <= 20 and seen <= 5")
+def stream_own_rule(spark, sf):
+    """K2, L1: a rule of one's own in the stream."""
+    path, schema = _trial_files(spark, sf)
+    arrivals = incremental.read_stream(spark, path, schema, "parquet", maxFilesPerTrigger=1)
+    kept = incremental.stop_stream(
+        arrivals, ["query_id"], ["event_id"], 1000, 0, rule=lambda trials, corrects: trials >= 20 or corrects > 5
+    )
+    return _run(spark, kept)
+
+
+def _kept_stream(spark, sf):
+    """What the stop rule kept, as a stream of its own."""
+    out = scratch_path(spark, "kept")
+    kept = _kept(spark, sf)
+    incremental.append_sink(kept, out, scratch_path(spark, "offsets")).awaitTermination()
+    return incremental.read_stream(spark, out, kept.schema, "parquet", maxFilesPerTrigger=8)
+
+
+def _last_round(spark, path):
+    rounds = spark.read.parquet(path)
+    return rounds.filter(F.col("round") == rounds.agg(F.max("round")).scalar()).drop("round")
+
+
 @query(KEPT + "select query_id, count(*) as n_trials, cast(sum(case when correct then 1 else 0 end) as bigint) as n_corrects from k group by query_id")
 def stream_progress(spark, sf):
-    """K3: counters behind the stop rule."""
-    return quotas.counters(_run(spark, _kept(spark, sf)), ["query_id"])
+    """K3: live counters of what the stop rule kept; here after the last micro-batch."""
+    out, mark = scratch_path(spark, "progress"), scratch_path(spark, "offsets")
+
+    def publish(status, batch_id):
+        status.write.mode("overwrite").parquet(f"{out}/round={batch_id}")
+
+    live = incremental.progress_stream(_kept_stream(spark, sf), ["query_id"])
+    writer = live.writeStream.outputMode("complete").option("checkpointLocation", mark).trigger(availableNow=True)
+    writer.foreachBatch(publish).start().awaitTermination()
+    return _last_round(spark, out)
 
 
-@query(STREAMED + """
-, s as (select query_id, count(*) as n_trials, sum(case when correct then 1 else 0 end) as n_corrects from c group by query_id)
-select query_id, cast(floor((row_number() over (order by n_trials, query_id) - 1) / 10) as bigint) as batch_no from s where n_trials < 65 and n_corrects <= 40
+@query(KEPT + """
+, s as (select query_id, count(*) as n_trials, sum(case when correct then 1 else 0 end) as n_corrects from k group by query_id)
+select query_id, cast(floor((row_number() over (order by n_trials, query_id) - 1) / 10) as bigint) as batch_no from s where n_trials < 60 and n_corrects <= 3
 """)
 def stream_hand_out(spark, sf):
-    """K3, K4: after every micro-batch the work that is left; here the last round."""
-    path, schema = _trial_files(spark, sf)
-    arrivals = incremental.read_stream(spark, path, schema, "parquet", maxFilesPerTrigger=1)
+    """K3, K4: after every micro-batch of kept rows the work that is left; here the last round."""
     queries = view(spark, sf, "trials").select("query_id").distinct()
     out, mark = scratch_path(spark, "work"), scratch_path(spark, "offsets")
-    incremental.hand_out(arrivals, queries, ["query_id"], 65, 40, out, mark, paths_per_batch=10).awaitTermination()
-    return spark.read.parquet(f"{out}/round=3").select("query_id", "batch_no")
+    incremental.hand_out(_kept_stream(spark, sf), queries, ["query_id"], 60, 3, out, mark, paths_per_batch=10).awaitTermination()
+    return _last_round(spark, out).select("query_id", "batch_no")
