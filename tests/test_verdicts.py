@@ -116,10 +116,10 @@ def test_tool_prompt_of_an_unknown_model_is_an_error(spark):
 
 
 def test_requests_and_responses_meet_by_the_stem_of_their_files(spark, tmp_path):
-    for name, text in ((NAMES[0], "a"), (NAMES[1], "b")):
-        (tmp_path / name).write_text('{"custom_id": "%s"}\n' % text)
-    got = read_tasks(spark, str(tmp_path), "custom_id string").collect()
-    assert sorted((r["task"], r["custom_id"]) for r in got) == TASKS
+    for name in ("req_math.jsonl", "req_gsm.jsonl", "resp_math.jsonl"):
+        (tmp_path / name).write_text('{"custom_id": "0"}\n')
+    sides = [read_tasks(spark, f"{tmp_path}/{kind}_*", "custom_id string") for kind in ("req", "resp")]
+    assert [r["task"] for r in sides[0].join(sides[1], ["task", "custom_id"]).collect()] == ["math"]
 
 
 def test_run_layout_and_recursive_scan(spark, tmp_path):
