@@ -136,7 +136,7 @@ select resp_id, given as ans, hit as correct,
 from {resp} r
 """)
 def grade_responses(spark, sf):
-    """Distinct pairs graded once."""
+    """One scan, no shuffle."""
     graded = grading.grade(_pool(spark, sf), mode="math")
     return graded.select("resp_id", "ans", "correct", "match_tier")
 
