@@ -391,11 +391,11 @@ def curate_files(spark, sf):
     return spark.read.schema("query string").json(out).groupBy("query").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select resp_id as id, hit as correct from {resp} r where agent = 'agent0'")
+@query("select resp_id as id, hit as correct from {resp} r")
 def grade_files(spark, sf):
     """Graded copy of a response file."""
     root, out = scratch_path(spark, "raw"), scratch_path(spark, "graded")
-    df = view(spark, sf, "resp").filter("agent = 'agent0'")
+    df = view(spark, sf, "resp")
     files.write_jsonl(df.select(F.col("resp_id").alias("id"), "dataset", "query", "ref_ans", "resp", "finish_reason"), root)
     grade_path(spark, root, out, mode="math")
     return spark.read.schema("id string, correct boolean").json(out)
