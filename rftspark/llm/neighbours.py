@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 #: Rows of the sample that the index is fitted on, and queries tried there.
 SAMPLE, TRIED = 8_192, 128
 TABLES, PROJECTIONS = 2, 6
-#: Vectors in a block: groups of buckets, and parts of a hot bucket, of about this size.
+#: Vectors in a block: groups of buckets, and parts of a hot bucket or of its queries, of about this size.
 BLOCK = 32_768
 #: Share of the true neighbours in the sample that the number of probes must find.
 RECALL = 0.97
@@ -150,12 +150,16 @@ def _search(good: DataFrame, d: int, n: int, every: int, wanted: int, block: int
                     ["t", "g", "c", "v", "x"],
                 )
 
+    def probed(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Table, buckets in order and their groups, for each query of a batch."""
+        for table, place in enumerate(index.slots(vectors(b.column(1)).reshape(-1, d), True)):
+            probes = np.sort(code(index.probed(place)), axis=1)
+            yield table, probes, group(probes)
+
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for table, place in enumerate(index.slots(vectors(b.column(1)).reshape(-1, d), True)):
-                probes = np.sort(code(index.probed(place)), axis=1)
-                for i, row in enumerate(probes):
-                    g = group(row)
+            for table, probes, groups_of in probed(b):
+                for i, (row, g) in enumerate(zip(probes, groups_of, strict=True)):
                     used = np.unique(g)
                     k = len(used)
                     yield pa.RecordBatch.from_arrays(
@@ -164,11 +168,27 @@ def _search(good: DataFrame, d: int, n: int, every: int, wanted: int, block: int
                         ["t", "g", "probes", "q", "x"],
                     )
 
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for table, _, groups_of in probed(b):
+                used = np.concatenate([np.array([], np.int32), *map(np.unique, groups_of)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), table, np.int32)), pa.array(used)], ["t", "g"])
+
+    # A group is a grid: its vectors in parts, the queries that visit it in turns, so that neither grows with the table.
+    def shares(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("t", "g").agg(F.ceil(F.count("*") / (2 * block)).cast("int").alias(name))
+
+    def each(name: str):
+        return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+
     table = good.mapInArrow(filed, "t int, g int, c long, v long, x array<double>")
-    counts = table.groupBy("t", "g").count().select("t", "g", F.ceil(F.col("count") / (2 * block)).cast("int").alias("parts"))
-    ask = good.filter(F.pmod("v", F.lit(every)) == 0).mapInArrow(asked, "t int, g int, probes binary, q long, x array<double>")
-    left = table.join(counts, ["t", "g"]).withColumn("part", F.pmod(F.xxhash64("v"), "parts").cast("int")).drop("parts")
-    right = ask.join(counts, ["t", "g"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    queries = good.filter(F.pmod("v", F.lit(every)) == 0)
+    ask = queries.mapInArrow(asked, "t int, g int, probes binary, q long, x array<double>")
+    grid = shares(table, "parts").join(shares(queries.mapInArrow(visits, "t int, g int"), "turns"), ["t", "g"])
+    left = table.join(grid, ["t", "g"]).withColumn("part", F.pmod(F.xxhash64("v"), "parts").cast("int"))
+    left = left.withColumn("turn", each("turns")).drop("parts", "turns")
+    right = ask.join(grid, ["t", "g"]).withColumn("turn", F.pmod(F.xxhash64("q"), "turns").cast("int"))
+    right = right.withColumn("part", each("parts")).drop("parts", "turns")
 
     def meet(filed: pa.Table, asking: pa.Table) -> pa.Table:
         out: tuple[list, ...] = [], [], []
@@ -197,5 +217,5 @@ def _search(good: DataFrame, d: int, n: int, every: int, wanted: int, block: int
         cols = [pa.array(np.concatenate([np.array([], k), *o]).astype(k)) for o, k in zip(out, kinds, strict=True)]
         return pa.table(dict(zip(("q", "v", "s"), cols, strict=True)))
 
-    keys = ["t", "g", "part"]
+    keys = ["t", "g", "part", "turn"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "q long, v long, s double")
