@@ -17,10 +17,12 @@ SUBSETS = (8,) * 4 + (32,) * 12 + (128,) * 16
 #: Band of ln(documents / documents with the term). As document frequencies add up to the
 #: mean number of distinct terms m times the documents, at most 1000 m terms are inside.
 BAND = (2.3, 6.9)
+#: Terms up to which a lexicon is broadcast, 8 bytes each; a larger one is joined by shuffle.
+BROADCAST = 1_000_000
 
 
 def terms(text: Column) -> Column:
-    """Hashes of the distinct terms of a text, A-Z in lower case."""
+    """Hashes of the distinct terms of a text in lower case."""
     words = F.split(F.lower(text), r"[\x20\x09-\x0D]+")
     return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
@@ -86,7 +88,9 @@ def neighbours(rows: DataFrame) -> DataFrame:
     )
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = BAND, largest: int = BROADCAST,
+) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The edited text is the text whose last third of characters is replaced by the first as
@@ -118,7 +122,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sides = sides.select("*", *whole)  # before the explode, else once per term
     spread = sides.select("k", "h", "n", "times", "nk", "nh", "sha", "all_own", "all_other", words.alias("w"))
     spread = spread.select("*", "w.side", "w.term").drop("w")
-    kept = F.broadcast(lexicon(rows, "t", band).withColumn("inside", F.lit(True)))
+    kept = lexicon(rows, "t", band).withColumn("inside", F.lit(True)).checkpoint()
+    kept = F.broadcast(kept) if kept.count() <= largest else kept
     spread = spread.join(kept, "term", "left").filter("inside or side = 2")
     grouped = spread.groupBy("k", "h").agg(
         *[F.first(c).alias(c) for c in ("n", "times", "nk", "nh", "sha", "all_own", "all_other")],
