@@ -231,7 +231,7 @@ def use_checkpoints(spark) -> None:
     """The session's shared folder as checkpoint folder."""
     from ..runtime import shared_root
 
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_root(spark))
 
 

@@ -256,7 +256,8 @@ def test_quality(spark, docs, empty):
     assert quality.learned(empty, labels, "true") is None
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("block", [15, 200])
+def test_neighbours(spark, block):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(900, 16))
     x[100:160] = x[100]
@@ -264,7 +265,7 @@ def test_neighbours(spark):
     rows += [(1000, None), (1020, [0.0] * 16), (1040, [float("nan")] * 16), (1060, [None] * 16), (1080, [1.0, 2.0]), (None, x[0].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got: dict = {}
-    for r in neighbours.nearest(df, block=200).collect():
+    for r in neighbours.nearest(df, block=block).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert set(got) == set(range(0, 900, 20))
     hits = 0
@@ -290,6 +291,7 @@ def test_fingerprints(docs, empty):
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert (r["near_next"] == 1) == (r["fingerprint"] == got[after[0]]["fingerprint"]) and 0 <= r["near_edited"] <= 1
     assert got[41]["fingerprint"] == got[43]["fingerprint"]
+    assert result(imatch.fingerprints(docs, largest=0), *r.asDict()) == result(imatch.fingerprints(docs), *r.asDict())
     assert imatch.fingerprints(docs).count() == docs.count() and imatch.fingerprints(empty).count() == 0
 
 
