@@ -103,8 +103,32 @@ def _shared(data: list[bytes]) -> list[np.ndarray]:
     return [np.isin(p[0], shared) for p in pairs]
 
 
-def _has_earlier(data: list[bytes]) -> list[np.ndarray]:
-    """Entries for which an earlier line lies within the edit bound."""
+def _ends(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct halves of some chunks, sorted; their smallest and largest line; the halves as sent."""
+    pairs = [np.frombuffer(d, U).reshape(2, -1) for d in data]
+    keys, lines = np.concatenate(pairs, axis=1)
+    order = np.lexsort((lines, keys))
+    k, x = keys[order], lines[order]
+    begin = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.array([], int)
+    end = np.r_[begin[1:], len(k)][: len(begin)] - 1
+    return k[begin], x[begin], x[end], [p[0] for p in pairs]
+
+
+def _halves_once(data: list[bytes]) -> bytes:
+    """Each half of some chunks once; it goes with its smallest line."""
+    keys, low, _, _ = _ends(data)
+    return keys.tobytes() + low.tobytes()
+
+
+def _halves_spread(data: list[bytes], bits: np.ndarray) -> list[np.ndarray]:
+    """Halves that two different lines of these chunks have, or of all."""
+    keys, low, high, sent = _ends(data)
+    shared = (low != high) | bits[: len(keys)]
+    return [shared[np.searchsorted(keys, k)] for k in sent]
+
+
+def _entries(data: list[bytes]) -> tuple[list[np.ndarray], list[int]]:
+    """Columns (hash, check, place, id, tie, line) of all lists, and the sizes of the lists."""
     cols, sizes = [[] for _ in range(6)], []
     for d in data:
         docs, n = np.frombuffer(d, np.int64, 2)
@@ -116,7 +140,12 @@ def _has_earlier(data: list[bytes]) -> list[np.ndarray]:
         for c, x in zip(cols, one, strict=True):
             c.append(x)
         sizes.append(n)
-    v, check, place, ids, ties, line = (np.concatenate(c) for c in cols)
+    return [np.concatenate(c) for c in cols], sizes
+
+
+def _has_earlier(data: list[bytes]) -> list[np.ndarray]:
+    """Entries for which an earlier line lies within the edit bound."""
+    (v, check, place, ids, ties, line), sizes = _entries(data)
     order = np.lexsort((line, ties, ids, check, v))
     v, check, place = v[order], check[order], place[order]
     n = len(v)
@@ -136,8 +165,35 @@ def _has_earlier(data: list[bytes]) -> list[np.ndarray]:
     return np.split(out, np.cumsum(sizes)[:-1])
 
 
+def _firsts(cols: list[np.ndarray]) -> np.ndarray:
+    """Positions of the earliest entry of each hash and place, in their order."""
+    v, check, place, ids, ties, line = cols
+    order = np.lexsort((line, ties, ids, place, check, v))
+    new = np.ones(len(v), bool)
+    new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in (v, check, place)])
+    return order[new]
+
+
+def _entries_once(data: list[bytes]) -> bytes:
+    """The earliest entry of each hash and place of some chunks, each as of a document of its own."""
+    cols, _ = _entries(data)
+    v, check, place, ids, ties, line = (c[_firsts(cols)] for c in cols)
+    n = len(v)
+    parts = (np.array([n, n], np.int64), ids, ties, np.ones(n, np.int64), v, check, place, line)
+    return b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
+
+
+def _entries_spread(data: list[bytes], bits: np.ndarray) -> list[np.ndarray]:
+    """Any entry but the first of its hash and place has an earlier one; the firsts as told."""
+    cols, sizes = _entries(data)
+    found, first = np.ones(len(cols[0]), bool), _firsts(cols)
+    found[first] = bits[: len(first)]
+    return np.split(found, np.cumsum(sizes)[:-1])
+
+
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 2, near_words: int = 8,
+    total_bytes: int | None = None, together: int | None = None,
 ) -> DataFrame:
     """Every document without the lines that have an earlier equal.
 
@@ -149,8 +205,10 @@ def dedup_lines(
     columns of ``docs`` (an extra column named like a result is replaced) with the kept
     lines as text, plus ``n_lines`` and ``n_removed``. A null text stays null and has no
     lines, an empty one has one blank line. An empty table gives an empty table.
+    ``total_bytes`` (of all texts; counted if not given) and ``together`` set how the work
+    is divided, not its result.
     """
-    total = R.text_bytes(docs, text_col)
+    total = R.text_bytes(docs, text_col) if total_bytes is None else total_bytes
     n_buckets = max(1, -(-total // R.BUCKET_BYTES))
     chunks = R.chunked(docs, id_col, text_col, total)
 
@@ -220,5 +278,9 @@ def dedup_lines(
          T.StructField("rest", chunks.schema["rest"].dataType), T.StructField("n_lines", T.LongType()),
          T.StructField("n_removed", T.LongType())]
     )
-    done = R.run_rounds(chunks, [(halves, _shared), (variants, _has_earlier)], kept, schema)
+    steps = [
+        R.Round(halves, _shared, _halves_once, _halves_spread),
+        R.Round(variants, _has_earlier, _entries_once, _entries_spread),
+    ]
+    done = R.run_rounds(chunks, steps, kept, schema, R.n_chunks(total, R.CHUNK_BYTES), together)
     return R.unpacked(done, docs, id_col, text_col, ("n_lines", "n_removed"))

@@ -6,15 +6,18 @@ with one bit per key it was sent. A chunk repeats its own deterministic work in
 round to know which key a bit belongs to, so neither rows nor positions travel back.
 
 A key goes out at most once per chunk, so a key that a third of all rows hold costs a
-bucket as many entries as there are chunks. Chunks and buckets are sized by the bytes of
-text: the memory of a group does not grow with the table. The chunked documents are one
-shuffle that all rounds of the plan share.
+bucket as many entries as there are chunks. Where there are more than ``TOGETHER`` chunks,
+the lists of so many are folded first: only the entries that stand for the others go on to
+the bucket, and its bits are spread over the rest on the way back. Chunks and buckets are
+sized by the bytes of text: the memory of a group does not grow with the table. The chunked
+documents are one shuffle that all rounds of the plan share.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 32 << 20
+#: Chunks whose lists for a bucket are folded into one where there are more chunks.
+TOGETHER = 4_096
 LAST = np.iinfo(np.int64).max
 SENT = "bucket int, chunk int, data binary"
 REPLY = "chunk int, round int, bucket int, data binary"
@@ -32,13 +37,17 @@ def text_bytes(docs: DataFrame, text: str) -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
+def n_chunks(total: int, chunk_bytes: int) -> int:
+    return max(1, -(-total // chunk_bytes))
+
+
 def chunked(docs: DataFrame, id_col: str, text_col: str, total: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Rows (chunk, k, tie, t, rest): ``rest`` holds the other columns, whatever their names.
 
     Documents are ordered by (k, tie); null ids come last and ``tie``, a hash of the text,
     orders rows that share an id.
     """
-    n = max(1, -(-total // chunk_bytes))
+    n = n_chunks(total, chunk_bytes)
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
     tie = F.xxhash64(F.col(text_col))
     return docs.select(
@@ -111,10 +120,51 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
 
 
-def run_rounds(chunks: DataFrame, steps: list[tuple[Callable, Callable]], last: Callable, schema) -> DataFrame:
-    """``steps``: (send, judge) of each round. ``send(chunk, answers)`` gives a table SENT,
-    ``judge(lists)`` one array of bools per list; ``last(chunk, answers)`` gives the result."""
+@dataclass(frozen=True)
+class Round:
+    """One round: what chunks send, and how a bucket judges the lists of all.
+
+    ``send(chunk, answers)`` gives a table SENT, ``judge(lists)`` one array of bools per
+    list. ``fold(lists)`` gives a list of the same form that stands for the given ones, the
+    same for any order of them, and ``spread(lists, bits)`` turns its bits into theirs.
+    """
+
+    send: Callable[[pa.Table, Answers], pa.Table]
+    judge: Callable[[list[bytes]], list[np.ndarray]]
+    fold: Callable[[list[bytes]], bytes]
+    spread: Callable[[list[bytes], np.ndarray], list[np.ndarray]]
+
+    def decided(self, sent: DataFrame, rnd: int) -> DataFrame:
+        """REPLY of each bucket to each list."""
+        judge = self.judge
+
+        def decide(one: pa.Table) -> pa.Table:
+            return answers(rnd, one, judge(one["data"].to_pylist()))
+
+        return sent.groupBy("bucket").applyInArrow(decide, REPLY)
+
+    def decided_in_parts(self, sent: DataFrame, rnd: int, together: int) -> DataFrame:
+        """The same, with the lists of ``together`` chunks folded before they meet the others."""
+        fold, spread = self.fold, self.spread
+        parts = sent.withColumn("part", F.floor(F.col("chunk") / together).cast("int")).groupBy("bucket", "part")
+
+        def folded(one: pa.Table) -> pa.Table:
+            data = pa.array([fold(one["data"].to_pylist())], pa.binary())
+            head = one.slice(0, 1)
+            return pa.table({"bucket": head["bucket"].cast(pa.int32()), "chunk": head["part"].cast(pa.int32()), "data": data})
+
+        def back(one: pa.Table, reply: pa.Table) -> pa.Table:
+            bits = np.unpackbits(np.frombuffer(reply["data"][0].as_py(), np.uint8)).astype(bool)
+            return answers(rnd, one, spread(one["data"].to_pylist(), bits))
+
+        replies = self.decided(parts.applyInArrow(folded, SENT), rnd)
+        return parts.cogroup(replies.groupBy("bucket", "chunk")).applyInArrow(back, REPLY)
+
+
+def run_rounds(chunks: DataFrame, steps: list[Round], last: Callable, schema, n: int, together: int | None = None) -> DataFrame:
+    """The rounds over ``n`` chunks one after the other; ``last(chunk, answers)`` gives the result."""
     groups, replies = chunks.groupBy("chunk"), None
+    together = together or TOGETHER
 
     def with_answers(work):
         def one(chunk: pa.Table) -> pa.Table:
@@ -131,14 +181,9 @@ def run_rounds(chunks: DataFrame, steps: list[tuple[Callable, Callable]], last:
             return groups.applyInArrow(one, out)
         return groups.cogroup(replies.groupBy("chunk")).applyInArrow(both, out)
 
-    def judged(rnd: int, judge):
-        def decide(sent: pa.Table) -> pa.Table:
-            return answers(rnd, sent, judge(sent["data"].to_pylist()))
-
-        return decide
-
-    for rnd, (send, judge) in enumerate(steps):
-        reply = applied(send, SENT).groupBy("bucket").applyInArrow(judged(rnd, judge), REPLY)
+    for rnd, step in enumerate(steps):
+        sent = applied(step.send, SENT)
+        reply = step.decided(sent, rnd) if n <= together else step.decided_in_parts(sent, rnd, together)
         replies = reply if replies is None else replies.unionByName(reply)
     return applied(last, schema)
 

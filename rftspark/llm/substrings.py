@@ -116,6 +116,19 @@ def _seen_twice(data: list[bytes]) -> list[np.ndarray]:
     return [np.isin(k, twice) for k in keys]
 
 
+def _anchors_once(data: list[bytes]) -> bytes:
+    """The anchors of some chunks, each once."""
+    return np.unique(np.concatenate([np.frombuffer(d, U) for d in data])).tobytes()
+
+
+def _anchors_spread(data: list[bytes], bits: np.ndarray) -> list[np.ndarray]:
+    """Anchors seen twice among these chunks, or elsewhere too."""
+    keys = [np.frombuffer(d, U) for d in data]
+    once, of, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    seen = (counts > 1) | bits[: len(once)]
+    return np.split(seen[of], np.cumsum([len(k) for k in keys])[:-1])
+
+
 def _pack(w: Windows, chunk: pa.Table) -> Callable[[np.ndarray], bytes]:
     ids, ties = np.asarray(chunk["k"].fill_null(R.LAST)), np.asarray(chunk["tie"])
 
@@ -128,8 +141,9 @@ def _pack(w: Windows, chunk: pa.Table) -> Callable[[np.ndarray], bytes]:
     return pack
 
 
-def _not_earliest(data: list[bytes]) -> list[np.ndarray]:
-    """Windows whose words start earlier in another chunk."""
+def _sorted(data: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[int]]:
+    """Columns (ties, ids, check, full) of all lists, their order by windows and earliest
+    first, which of the ordered ones repeat the one before, and the sizes of the lists."""
     cols, sizes = [[], [], [], []], []
     for d in data:
         docs, n = np.frombuffer(d, np.int64, 2)
@@ -139,17 +153,42 @@ def _not_earliest(data: list[bytes]) -> list[np.ndarray]:
         for c, x in zip(cols, (np.repeat(ties, counts), np.repeat(ids, counts), check, full), strict=True):
             c.append(x)
         sizes.append(n)
-    ties, ids, check, full = (np.concatenate(c) for c in cols)
-    order = np.lexsort((ties, ids, check, full))
-    later = np.zeros(len(full), bool)
-    f, c = full[order], check[order]
-    later[order[1:]] = (f[1:] == f[:-1]) & (c[1:] == c[:-1])
+    every = [np.concatenate(c) for c in cols]
+    order = np.lexsort(every)
+    f, c = every[3][order], every[2][order]
+    again = np.zeros(len(f), bool)
+    again[1:] = (f[1:] == f[:-1]) & (c[1:] == c[:-1])
+    return every, order, again, sizes
+
+
+def _not_earliest(data: list[bytes]) -> list[np.ndarray]:
+    """Windows whose words start earlier in another chunk."""
+    _, order, again, sizes = _sorted(data)
+    later = np.zeros(len(order), bool)
+    later[order] = again
+    return np.split(later, np.cumsum(sizes)[:-1])
+
+
+def _earliest(data: list[bytes]) -> bytes:
+    """The earliest of equal windows of some chunks, each as of a document of its own."""
+    every, order, again, _ = _sorted(data)
+    ties, ids, check, full = (c[order[~again]] for c in every)
+    head = np.array([len(ids), len(ids)], np.int64)
+    return b"".join(x.tobytes() for x in (head, ids, ties, np.ones(len(ids), np.int64), full, check))
+
+
+def _earliest_spread(data: list[bytes], bits: np.ndarray) -> list[np.ndarray]:
+    """Windows that are not the earliest of these chunks, or of all."""
+    _, order, again, sizes = _sorted(data)
+    later = np.ones(len(order), bool)
+    first = order[~again]
+    later[first] = bits[: len(first)]
     return np.split(later, np.cumsum(sizes)[:-1])
 
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, joined: bool = True,
-    total_bytes: int | None = None,
+    total_bytes: int | None = None, together: int | None = None,
 ) -> DataFrame:
     """Every document without the words of windows that start earlier.
 
@@ -159,7 +198,8 @@ def remove_repeats(
     otherwise kept words are joined by one space. Null and empty texts have no words and
     give an empty text; texts shorter than the window lose nothing. "Earlier" goes by id,
     then (rows that share an id) by a hash of the text, then by place; null ids come last.
-    An empty table gives an empty table.
+    An empty table gives an empty table. ``total_bytes`` (of all texts; counted if not given)
+    and ``together`` set how the work is divided, not its result.
     """
     total = R.text_bytes(docs, text_col) if total_bytes is None else total_bytes
     n_buckets = max(1, -(-total // R.BUCKET_BYTES))
@@ -203,5 +243,9 @@ def remove_repeats(
         [T.StructField("k", T.LongType()), T.StructField("t", T.StringType()), T.StructField("rest", rest),
          T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
     )
-    done = R.run_rounds(chunks, [(anchors, _seen_twice), (windows, _not_earliest)], kept, schema)
+    steps = [
+        R.Round(anchors, _seen_twice, _anchors_once, _anchors_spread),
+        R.Round(windows, _not_earliest, _earliest, _earliest_spread),
+    ]
+    done = R.run_rounds(chunks, steps, kept, schema, R.n_chunks(total, R.CHUNK_BYTES), together)
     return R.unpacked(done, docs, id_col, text_col, ("n_words", "n_removed"))

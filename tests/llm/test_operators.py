@@ -52,7 +52,8 @@ def result(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
 
 
-def test_substrings(docs, empty):
+@pytest.mark.parametrize("together", [None, 1, 3])
+def test_substrings(docs, empty, together):
     seen, want = set(), []
     for i, t in ordered():
         w, gone = (t or "").encode().split(), set()
@@ -62,13 +63,14 @@ def test_substrings(docs, empty):
                 gone |= set(range(p, p + 20))
             seen.add(key)
         want.append((i, " ".join(x.decode() for j, x in enumerate(w) if j not in gone), len(w), len(gone)))
-    done = substrings.remove_repeats(docs, total_bytes=30 << 20)
+    done = substrings.remove_repeats(docs, total_bytes=30 << 20, together=together)
     assert result(done, "doc_id", "text", "n_words", "n_removed") == sorted(want, key=repr)
     assert {r["chunk"] for r in done.collect()} == {"c"} and done.columns.count("n_words") == 1
     assert substrings.remove_repeats(empty).count() == 0
 
 
-def test_lines(docs, empty):
+@pytest.mark.parametrize("together", [None, 1, 3])
+def test_lines(docs, empty, together):
     seen, less, want = set(), set(), []
     for i, t in ordered():
         kept, n = [], 0
@@ -82,7 +84,8 @@ def test_lines(docs, empty):
             n += gone
             kept += [] if gone else [line]
         want.append((i, None if t is None else "\n".join(kept), n))
-    assert result(lines.dedup_lines(docs), "doc_id", "text", "n_removed") == sorted(want, key=repr)
+    done = lines.dedup_lines(docs, total_bytes=30 << 20 if together else None, together=together)
+    assert result(done, "doc_id", "text", "n_removed") == sorted(want, key=repr)
     assert lines.dedup_lines(empty).count() == 0
 
 
