@@ -64,6 +64,10 @@ def _packs(lens: np.ndarray, pack_len: int, load: int, pack: int) -> tuple[np.nd
     return numbers, offsets
 
 
+#: Stretches whose effect is composed into one table before the walk over all of them.
+STRETCHES_PER_BLOCK = 64
+
+
 def checked_lengths(lengths: DataFrame, pack_len: int) -> DataFrame:
     """``lengths`` that fail the job on a sequence no pack can hold."""
     bad = (F.col("len") > pack_len) | (F.col("len") < 1)
@@ -106,7 +110,7 @@ def assign_packs(
         starts = starts.select("_part", F.lit(pack_len).cast("long").alias("load"), F.col("pack").cast("long"))
     else:
         starts = _start_states(cut, pack_len)
-    ready = cut.join(F.broadcast(starts), "_part")
+    ready = cut.join(starts, "_part")
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_order", "id"], kind="stable")
@@ -125,8 +129,21 @@ def assign_packs(
     )
 
 
+def _walk(tables: pd.DataFrame, key: str, load: int, pack: int) -> tuple[pd.DataFrame, int, int]:
+    """The state before each of the given tables, in order, and the one after the last."""
+    rows = []
+    for name, end_load, opened in zip(tables[key], tables["end_load"], tables["opened"]):
+        rows.append((name, load, pack))
+        load, pack = int(end_load[load]), pack + int(opened[load])
+    return pd.DataFrame(rows, columns=[key, "load", "pack"]), load, pack
+
+
 def _start_states(cut: DataFrame, pack_len: int) -> DataFrame:
-    """(``_part``, ``load``, ``pack``): the state every stretch starts from."""
+    """(``_part``, ``load``, ``pack``): the state every stretch starts from.
+
+    Following one table after another is again a table, so blocks of stretches become one
+    table each, all blocks at once. Then the blocks get their start, and their stretches.
+    """
 
     def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_order", "id"], kind="stable")
@@ -135,22 +152,36 @@ def _start_states(cut: DataFrame, pack_len: int) -> DataFrame:
             {"_part": [pdf["_part"].iloc[0]], "end_load": [end_load.tolist()], "opened": [opened.tolist()]}
         )
 
-    tables = cut.groupBy("_part").applyInPandas(
-        summarize, "_part int, end_load array<long>, opened array<long>"
-    )
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_part")
+        end, opened = np.arange(pack_len + 1), np.zeros(pack_len + 1, np.int64)
+        for next_end, next_opened in zip(pdf["end_load"], pdf["opened"]):
+            opened, end = opened + np.asarray(next_opened)[end], np.asarray(next_end)[end]
+        return pd.DataFrame(
+            {"_block": [pdf["_block"].iloc[0]], "end_load": [end.tolist()], "opened": [opened.tolist()]}
+        )
 
-    def walk(batches):
+    def over_blocks(batches):
         # An unopened pack counts as full, so the first sequence opens pack 0.
         load, pack = pack_len, -1
         for pdf in batches:
-            rows = []
-            for part, end_load, opened in zip(pdf["_part"], pdf["end_load"], pdf["opened"]):
-                rows.append((part, load, pack))
-                load, pack = int(end_load[load]), pack + int(opened[load])
-            yield pd.DataFrame(rows, columns=["_part", "load", "pack"])
-
-    # One table of pack_len + 1 numbers per stretch streams through one task, no sequence does.
-    return tables.orderBy("_part").coalesce(1).mapInPandas(walk, "_part int, load long, pack long")
+            states, load, pack = _walk(pdf, "_block", load, pack)
+            yield states
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_part")
+        return _walk(pdf, "_part", int(pdf["load"].iloc[0]), int(pdf["pack"].iloc[0]))[0]
+
+    tables = cut.groupBy("_part").applyInPandas(
+        summarize, "_part int, end_load array<long>, opened array<long>"
+    )
+    tables = pinned(tables.withColumn("_block", F.floor(F.col("_part") / STRETCHES_PER_BLOCK).cast("int")))
+    blocks = tables.groupBy("_block").applyInPandas(
+        follow, "_block int, end_load array<long>, opened array<long>"
+    )
+    # One table of pack_len + 1 numbers per block streams through one task, no sequence does.
+    starts = blocks.orderBy("_block").coalesce(1).mapInPandas(over_blocks, "_block int, load long, pack long")
+    return tables.join(starts, "_block").groupBy("_block").applyInPandas(inside, "_part int, load long, pack long")
 
 
 def assemble_packs(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..runtime import GROUP_LIMIT_CONF
-from .ranking import first_by_quota, first_k, split_rank
+from .ranking import first_k, split_rank
 
 StopRule = Callable[[Column, Column, Column, Column], Column]
 

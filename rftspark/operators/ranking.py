@@ -30,21 +30,6 @@ def first_k(df: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame
     return ranked.filter(F.col("_rank") <= k).drop("_rank")
 
 
-def first_by_quota(
-    df: DataFrame, by: list[str], order: list[str], quota: str, largest: int
-) -> DataFrame:
-    """The first rows of every group up to the ``quota`` column, which never exceeds ``largest``.
-
-    The literal limit comes first: it is the one the group limit can use.
-    """
-    if largest > int(df.sparkSession.conf.get(GROUP_LIMIT_CONF, "1000")):
-        ranked = split_rank(df, by, order, "_rank")
-    else:
-        ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-        ranked = ranked.filter(F.col("_rank") <= largest)
-    return ranked.filter(F.col("_rank") <= F.col(quota)).drop("_rank")
-
-
 def split_rank(
     df: DataFrame,
     by: list[str],

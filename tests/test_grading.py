@@ -173,12 +173,12 @@ def test_olympiad_and_truncation(spark, dedup):
 
 
 def test_hot_pairs_and_partitions_do_not_matter(spark):
-    rows = [("q", "5", f"The answer is {5 if i % 3 else i}.", i) for i in range(300)]
+    rows = [("q", "5" if i < 290 else None, f"The answer is {5 if i % 3 else i}.", i) for i in range(300)]
     df = spark.createDataFrame(rows, "query string, ref_ans string, resp string, i int")
     plain = {r.i: r.correct for r in grading.grade(df, mode="math").collect()}
-    hot = {r.i: r.correct for r in grading.grade(df.repartition(7), mode="math", hot_rows=10).collect()}
+    hot = {r.i: r.correct for r in grading.grade(df.repartition(7), mode="math", dedup=True, hot_rows=5).collect()}
     assert plain == hot and len(hot) == 300
-    assert sum(plain.values()) == 200
+    assert sum(plain[i] for i in range(290)) == sum(1 for i in range(290) if i % 3 or i == 5)
 
 
 def test_python_evaluator_errors_are_wrong(spark):

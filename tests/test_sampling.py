@@ -129,8 +129,9 @@ def test_load_table_is_next_fit(lens, cap, start):
     assert (end[start], opened[start]) == (load, count)
 
 
-@pytest.mark.parametrize("stretches", [1, 3, 8])
-def test_packing_equals_one_pass(spark, stretches):
+@pytest.mark.parametrize(("stretches", "block"), [(1, 64), (3, 64), (8, 2), (8, 3)])
+def test_packing_equals_one_pass(spark, monkeypatch, stretches, block):
+    monkeypatch.setattr(packing, "STRETCHES_PER_BLOCK", block)
     rows = [(f"s{i}", (i * 37) % 90 + 1) for i in range(400)]
     df = spark.createDataFrame(rows, "id string, len int")
     got = packing.assign_packs(df, 100, stretches=stretches).collect()

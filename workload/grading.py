@@ -150,7 +150,7 @@ def grade_in_place(spark, sf):
 @query("select resp_id, hit as correct from {resp} r")
 def grade_hot_pairs(spark, sf):
     """G1 with every pair treated as hot: salted join back."""
-    return grading.grade(_pool(spark, sf), mode="math", hot_rows=20).select("resp_id", "correct")
+    return grading.grade(_pool(spark, sf), mode="math", dedup=True, hot_rows=20).select("resp_id", "correct")
 
 
 def _form_responses(spark, sf):
