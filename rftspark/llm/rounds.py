@@ -9,7 +9,7 @@ A key goes out at most once per chunk, so a key that a third of all rows hold co
 bucket as many entries as there are chunks. Where there are more than ``TOGETHER`` chunks,
 the lists of so many are folded first: only the entries that stand for the others go on to
 the bucket, and its bits are spread over the rest on the way back. Chunks and buckets are
-sized by the bytes of text: the memory of a group does not grow with the table. The chunked
+sized by the bytes of text: a group grows with the table only by one entry per part for such a key. The chunked
 documents are one shuffle that all rounds of the plan share.
 """
 
