@@ -1,9 +1,10 @@
-"""Removal of lines that appeared earlier, also with one word changed, added or missing.
+"""Removal of lines that appeared earlier, also with one unit changed, added or missing.
 
-Deletion neighbourhood over words: two lines lie within one edit exactly when one of them
-equals the other without a word, or both are equal without the word at the same place. So
-a line sends the hash of itself and of each variant that lacks one word, with the place of
-that word; equal variants meet in a bucket, where the places verify the distance. Only
+The units of a line are its words, or, where it has few of them, its characters.
+Deletion neighbourhood over units: two lines lie within one edit exactly when one of them
+equals the other without a unit, or both are equal without the unit at the same place. So
+a line sends the hash of itself and of each variant that lacks one unit, with the place of
+that unit; equal variants meet in a bucket, where the places verify the distance. Only
 lines that share a half with another line send variants: an edit leaves one half intact.
 """
 
@@ -36,16 +37,32 @@ def ranges(counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+class Characters(dict):
+    """Hash of each character, unlike that of a word of this one character."""
+
+    def __missing__(self, c: str) -> int:
+        self[c] = xxhash.xxh3_64_intdigest(c.encode(), 1)
+        return self[c]
+
+
 class Lines:
-    """Lines of a chunk; ``own``: the first of those with equal words."""
+    """Lines of a chunk; ``own``: the first of those with equal words. ``n`` counts units."""
 
-    def __init__(self, texts: list[bytes | None], min_words: int, near_words: int):
+    def __init__(self, texts: list[bytes | None], min_words: int, near_words: int, near_chars: int):
         self.lines = [[] if t is None else t.split(b"\n") for t in texts]
         words = [x.split() for ls in self.lines for x in ls]
         self.n_lines = np.array([len(ls) for ls in self.lines], np.int64)
-        self.n = np.array([len(w) for w in words], np.int64)
+        n_words = np.array([len(w) for w in words], np.int64)
         flat = xxhash.xxh3_64_intdigest
-        h = np.fromiter((flat(w) for ws in words for w in ws), U, count=int(self.n.sum()))
+        is_near, known = n_words >= near_words, Characters()
+        for i in np.flatnonzero((n_words >= min_words) & ~is_near).tolist():
+            if sum(map(len, words[i])) + len(words[i]) > near_chars:
+                chars = b" ".join(words[i]).decode()
+                if len(chars) >= near_chars:
+                    words[i], is_near[i] = chars, True
+        self.n = np.array([len(w) for w in words], np.int64)
+        hashes = (known[w] if type(ws) is str else flat(w) for ws in words for w in ws)
+        h = np.fromiter(hashes, U, count=int(self.n.sum()))
         most = int(self.n.max(initial=0)) + 2
         self.up = [powers(b, most) for b in BASES]
         self.down = [powers(b, most) for b in INVERSES]
@@ -56,13 +73,13 @@ class Lines:
         self.whole = [s[self.end] - s[self.start] for s in self.sums]
         self.doc = np.repeat(np.arange(len(texts)), self.n_lines)
         self.line_no = ranges(self.n_lines)
-        counted = np.flatnonzero(self.n >= min_words)
+        counted = np.flatnonzero(n_words >= min_words)
         _, first, same = np.unique(self.whole[0][counted], return_index=True, return_inverse=True)
         self.counted, self.is_first = counted, np.zeros(len(counted), bool)
         self.is_first[first] = True
         self.own = counted[self.is_first]
-        self.near = self.own[self.n[self.own] >= near_words]
-        self.far = self.own[self.n[self.own] < near_words]
+        self.near = self.own[is_near[self.own]]
+        self.far = self.own[~is_near[self.own]]
 
     def part(self, lane: int, start: np.ndarray, length: np.ndarray, skipped: np.ndarray) -> np.ndarray:
         """Hash of ``length`` words from ``start``, which has ``skipped`` words of its line before it."""
@@ -192,13 +209,15 @@ def _entries_spread(data: list[bytes], bits: np.ndarray) -> list[np.ndarray]:
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 2, near_words: int = 8,
-    total_bytes: int | None = None, together: int | None = None,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1, near_words: int = 8,
+    total_bytes: int | None = None, together: int | None = None, near_chars: int = 16,
 ) -> DataFrame:
     """Every document without the lines that have an earlier equal.
 
     A line goes if an earlier line has the same words, or, where both have ``near_words``
-    words or more, differs by one word changed, added or missing. All lines of the table
+    words or more, differs by one word changed, added or missing. Where both have fewer
+    words but ``near_chars`` characters or more (runs of white space count as one), one
+    character may be changed, added or missing. All lines of the table
     are judged as they came: an earlier line counts also where it goes itself. Lines of
     fewer than ``min_words`` words, blank ones too, stay. "Earlier" goes by id, then (rows
     that share an id) by a hash of the text, then by place; null ids come last. Returns the
@@ -213,7 +232,7 @@ def dedup_lines(
     chunks = R.chunked(docs, id_col, text_col, total)
 
     def read(chunk: pa.Table) -> Lines:
-        return Lines([None if x is None else x.encode() for x in chunk["t"].to_pylist()], min_words, near_words)
+        return Lines([None if x is None else x.encode() for x in chunk["t"].to_pylist()], min_words, near_words, near_chars)
 
     def halves(chunk: pa.Table, _: R.Answers) -> pa.Table:
         x = read(chunk)
