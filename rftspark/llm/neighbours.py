@@ -198,18 +198,22 @@ def _search(good: DataFrame, d: int, n: int, every: int, wanted: int, block: int
             c, v, x = c[order], v[order], x[order]
             keys, begin = np.unique(c, return_index=True)
             end = np.r_[begin[1:], len(c)]
+            repeated = len(np.unique(v)) < len(v)
             for q, y, probes in zip(asking["q"].to_pylist(), vectors(asking["x"]), asking["probes"].to_pylist(), strict=True):
                 hit = np.flatnonzero(np.isin(keys, np.frombuffer(probes, np.int64)))
                 n = end[hit] - begin[hit]
                 at = np.repeat(begin[hit] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
                 at = at[v[at] != q]
                 s = np.einsum("nd,d->n", x[at], y)
+                if repeated:  # one candidate per id, with its best score, before any is cut
+                    best = np.lexsort((-s, v[at]))
+                    best = best[np.unique(v[at][best], return_index=True)[1]]
+                    at, s = at[best], s[best]
                 if len(at) > wanted:
                     least = np.partition(s, len(s) - wanted)[len(s) - wanted]
                     keep = s >= least
                     at, s = at[keep], s[keep]
-                top = np.lexsort((v[at], -s))
-                top = top[np.sort(np.unique(v[at][top], return_index=True)[1])[:wanted]]
+                top = np.lexsort((v[at], -s))[:wanted]
                 out[0].append(np.full(len(top), q))
                 out[1].append(v[at][top])
                 out[2].append(s[top])
