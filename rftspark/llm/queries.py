@@ -113,6 +113,45 @@ def op5_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return nearest(table(spark, sf, "embeddings"))
 
 
+@query()
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import aligned
+
+    paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return aligned(table(spark, sf, "documents"), *paths, with_groups=False)
+
+
+@query()
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    from .conversations import repaired
+
+    return repaired(table(spark, sf, "conversations"), with_text=False)
+
+
+@query("""
+    with recursive v as (
+        select vec_id, label, list_transform(embedding, x -> x::double) as e from embeddings
+        where label is not null and embedding is not null
+          and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
+          and len(list_filter(embedding, x -> x <> 0)) > 0
+    ), l as (
+        select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+        where list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e)) >= 0.93
+    ), reach(a, b) as (select a, b from l union select r.a, l.b from reach r join l on r.b = l.a),
+    c as (select a, min(b) as least from reach group by a),
+    n as (select a, count(*) as n from l group by a)
+    select e.vec_id, coalesce(n.n, 0) as n_links, least(e.vec_id, coalesce(c.least, e.vec_id)) as component_id,
+           e.vec_id <= coalesce(c.least, e.vec_id) as kept
+    from embeddings e left join n on n.a = e.vec_id left join c on c.a = e.vec_id
+""")
+def op13_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from .tiles import near_vectors
+
+    return near_vectors(table(spark, sf, "embeddings"))
+
+
 @query()
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     from corpus_pipeline import run
