@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 
 from . import sqltext as F
+from .expressions import expression, same_expression
 from .normalize import ARRAY_START, distinct_elements, unwrap_all
 from .sqltext import Sql, let
 from .text import without_ends
@@ -107,9 +108,9 @@ def table_equal(ref: Sql, pred: Sql, tol: Tolerance = DEFAULT) -> Sql:
 
 
 def intervals_of(c: Sql) -> Sql:
-    r"""ARRAY<STRUCT<kind, low, high>> of intervals and single points joined by ``\cup``.
+    r"""ARRAY<ARRAY<part>> of intervals and single points joined by ``\cup`` and, binding tighter, ``\cap``.
 
-    NULL when a part has no such form or its ends are out of order.
+    A part is STRUCT<kind, low, high>. NULL when a part has no such form or its ends are out of order.
     """
 
     def part(p: Sql) -> Sql:
@@ -130,7 +131,7 @@ def intervals_of(c: Sql) -> Sql:
                 F.transform(F.array(i["low"], i["high"]), _cell),
                 lambda ends: F.when(
                     F.isnotnull(i),
-                    F.struct(i["kind"].alias("kind"), ends[0].alias("low"), ends[1].alias("high")),
+                    F.struct(i["kind"].alias("kind"), _end(ends[0]).alias("low"), _end(ends[1]).alias("high")),
                 ),
             ),
         )
@@ -138,14 +139,74 @@ def intervals_of(c: Sql) -> Sql:
     def in_order(i: Sql) -> Sql:
         return (i["kind"] == "{}") | F.coalesce(i["low"]["value"] < i["high"]["value"], F.lit(True))
 
-    return let(
-        F.transform(F.split(F.replace(c, F.lit(" "), F.lit("")), r"\\cup", -1), part),
-        lambda ps: F.when(F.forall(ps, lambda p: p.isNotNull() & in_order(p)), ps),
+    unions = F.transform(
+        F.split(F.replace(c, F.lit(" "), F.lit("")), r"\\cup", -1),
+        lambda u: F.transform(F.split(u, r"\\cap", -1), part),
     )
+    fine = lambda ps: F.forall(ps, lambda p: p.isNotNull() & in_order(p))
+    return let(unions, lambda us: F.when(F.forall(us, fine), us))
+
+
+def _end(cell: Sql) -> Sql:
+    """An end of an interval; infinity has a value too."""
+    text = cell["norm"]
+    infinite = F.lit("Infinity").cast("double")
+    value = F.when(text.isin("\\infty", "+\\infty"), infinite).when(text == "-\\infty", -1.0 * infinite).otherwise(cell["value"])
+    return F.struct(text.alias("norm"), value.alias("value"))
+
+
+def _spans(parts: Sql) -> Sql:
+    """ARRAY<STRUCT<low, open_low, high, open_high>> of parts whose ends all have values; NULL otherwise.
+
+    The intersections are taken, empty ones left out, and the rest is sorted by its low ends, closed before open.
+    """
+
+    def span(p: Sql) -> Sql:
+        return F.struct(
+            p["low"]["value"].alias("low"), F.startswith(p["kind"], "(").alias("open_low"),
+            p["high"]["value"].alias("high"), F.endswith(p["kind"], F.lit(")")).alias("open_high"),
+        )
+
+    def meet(a: Sql, b: Sql) -> Sql:
+        return F.struct(
+            F.greatest(a["low"], b["low"]).alias("low"),
+            ((a["open_low"] & (a["low"] >= b["low"])) | (b["open_low"] & (b["low"] >= a["low"]))).alias("open_low"),
+            F.least(a["high"], b["high"]).alias("high"),
+            ((a["open_high"] & (a["high"] <= b["high"])) | (b["open_high"] & (b["high"] <= a["high"]))).alias("open_high"),
+        )
+
+    def met(ps: Sql) -> Sql:
+        return let(F.transform(ps, span), lambda ss: F.aggregate(F.slice(ss, F.lit(2), F.size(ss)), F.element_at(ss, 1), meet))
+
+    valued = F.forall(parts, lambda ps: F.forall(ps, lambda p: p["low"]["value"].isNotNull() & p["high"]["value"].isNotNull()))
+    some = F.filter(
+        F.transform(parts, met),
+        lambda s: (s["low"] < s["high"]) | ((s["low"] == s["high"]) & ~s["open_low"] & ~s["open_high"]),
+    )
+    return F.when(valued, F.array_sort(some))
+
+
+def union_form(parts: Sql, tol: Tolerance = DEFAULT) -> Sql:
+    """Normal form of a union: disjoint spans from left to right, touching and overlapping ones merged."""
+
+    def sweep(done: Sql, s: Sql) -> Sql:
+        last = F.element_at(done, -1)
+        touch = close(last["high"], s["low"], tol.rel, tol.abs)
+        joined = F.struct(
+            last["low"].alias("low"), last["open_low"].alias("open_low"), F.greatest(last["high"], s["high"]).alias("high"),
+            F.when(last["high"] == s["high"], last["open_high"] & s["open_high"])
+            .when(last["high"] > s["high"], last["open_high"]).otherwise(s["open_high"]).alias("open_high"),
+        )
+        reach = F.when(touch, ~last["open_high"] | ~s["open_low"]).otherwise(s["low"] < last["high"])
+        return F.when(F.size(done) == 0, F.array(s)).when(
+            reach, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(joined))
+        ).otherwise(F.concat(done, F.array(s)))
+
+    return let(_spans(parts), lambda ss: F.when(ss.isNotNull(), F.aggregate(ss, F.slice(ss, F.lit(1), F.lit(0)), sweep)))
 
 
 def interval_equal(ref: Sql, pred: Sql, tol: Tolerance = DEFAULT) -> Sql:
-    """Unions that hold the same parts in any order."""
+    """Equal unions: by their normal form where all ends have values, else the same parts in any order."""
 
     def same(a: Sql, b: Sql) -> Sql:
         return (
@@ -154,11 +215,35 @@ def interval_equal(ref: Sql, pred: Sql, tol: Tolerance = DEFAULT) -> Sql:
             & same_element(a["high"], b["high"], tol)
         )
 
-    return (
-        (F.size(ref) == F.size(pred))
-        & F.forall(ref, lambda x: F.exists(pred, lambda y: same(x, y)))
-        & F.forall(pred, lambda y: F.exists(ref, lambda x: same(x, y)))
-    )
+    def same_parts(x: Sql, y: Sql) -> Sql:
+        return (
+            (F.size(x) == F.size(y))
+            & F.forall(x, lambda a: F.exists(y, lambda b: same(a, b)))
+            & F.forall(y, lambda b: F.exists(x, lambda a: same(a, b)))
+        )
+
+    def near(a: Sql, b: Sql) -> Sql:
+        return (a == b) | number_equal(a, b, tol)
+
+    def same_spans(x: Sql, y: Sql) -> Sql:
+        pairs = F.zip_with(
+            x, y,
+            lambda a, b: near(a["low"], b["low"]) & near(a["high"], b["high"])
+            & (a["open_low"] == b["open_low"]) & (a["open_high"] == b["open_high"]),
+        )
+        return (F.size(x) == F.size(y)) & F.forall(pairs, lambda ok: F.coalesce(ok, F.lit(False)))
+
+    def same_forms(forms: Sql) -> Sql:
+        by_parts = (
+            (F.size(ref) == F.size(pred))
+            & F.forall(ref, lambda x: F.exists(pred, lambda y: same_parts(x, y)))
+            & F.forall(pred, lambda y: F.exists(ref, lambda x: same_parts(x, y)))
+        )
+        known = forms[0].isNotNull() & forms[1].isNotNull()
+        return F.when(known, same_spans(forms[0], forms[1])).otherwise(by_parts)
+
+    both = F.transform(F.array(ref, pred), lambda parts: union_form(parts, tol))
+    return F.when(ref.isNotNull() & pred.isNotNull(), let(both, same_forms))
 
 
 def any_value(c: Sql) -> Sql:
@@ -212,7 +297,9 @@ def add_verdict(
     a, b = F.col(ref_norm), F.col(pred_norm)
     before = df.columns
     both = F.array(a, b)
-    sets, values, intervals, tables = (F.col(n) for n in ("_sets", "_values", "_intervals", "_tables"))
+    sets, values, intervals, tables, written = (
+        F.col(n) for n in ("_sets", "_values", "_intervals", "_tables", "_written")
+    )
 
     def parsed(condition: Sql, expression) -> Column:
         """Both sides parsed by one copy of the expression, where ``condition`` holds."""
@@ -242,6 +329,7 @@ def add_verdict(
         {
             "_intervals": parsed(still_open, intervals_of),
             "_tables": parsed(still_open, lambda c: let(table_text(c), table_cells)),
+            "_written": parsed(still_open & ~known(values), expression),
         }
     )
     verdict = (
@@ -250,6 +338,15 @@ def add_verdict(
         .when(same_value, _verdict(True, "closed_form"))
         .when(interval_equal(intervals[0], intervals[1], tol), _verdict(True, "interval"))
         .when(table_equal(tables[0], tables[1], tol), _verdict(True, "elementwise"))
+        .when(
+            known(written),
+            _verdict(
+                same_expression(
+                    written[0], written[1], lambda x, y: number_equal(x, y, tol), lambda x, y: close(x, y, tol.rel, tol.abs)
+                ),
+                "expression",
+            ),
+        )
         .when(known(values), _verdict(False, "closed_form"))
         .when(known(intervals), _verdict(False, "interval"))
         .when(known(tables), _verdict(False, "elementwise"))

@@ -49,9 +49,9 @@ def boxed_lenient(c: Sql) -> Sql:
 
 
 def truth_word(c: Sql) -> Sql:
-    """``True`` / ``False`` for text holding such a word, else NULL."""
+    """``True`` / ``False`` for text holding such a word, else NULL; commands that hold one do not count."""
     return let(
-        F.replace(strip(F.lower(c)), F.lit("noindent"), F.lit("")),
+        F.regexp_replace(strip(F.lower(c)), r"noindent|\\[dt]?binom", ""),
         lambda s: F.when(s.rlike("yes|true"), F.lit("True")).when(s.rlike("no|false"), F.lit("False")),
     )
 

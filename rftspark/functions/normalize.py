@@ -26,59 +26,69 @@ def _sub(c: Sql, pattern: str, replacement: str) -> Sql:
     return F.regexp_replace(c, pattern, replacement)
 
 
-_LEFT_RUN = r"(?:\\\()++|(?:\\\[)++|(?:\\\{)++|\(++|\[++|\{++"
-_RIGHT_RUN = r"^(?:\)++|\]++|\}++)"
-_RIGHT_RUN_ESCAPED = r"^(?:(?:\)\\)++|(?:\]\\)++|(?:\}\\)++)"
+_PLAIN_OPEN, _ESCAPED_OPEN = r"[(\[{]", r"\\[(\[{]"
+_PLAIN_CLOSE, _ESCAPED_CLOSE = r"^[)\]}]++", r"^(?:[)\]}]\\)++"
+_OPENERS = "([{"
 
 
 def unwrap_run(c: Sql) -> Sql:
-    """Remove the pairs that enclose the whole text and open with equal leading parentheses, plain or escaped.
+    """Remove the layers that enclose the whole text and open with one run of parentheses, all plain or all escaped.
 
-    One pass, however many pairs there are. With m equal parentheses on either side of a
-    middle part that closes as many as it opens, all but those pairs enclose the text that
-    the middle part closes before it opens them again.
+    One pass over the text, however many layers there are and however their kinds alternate. The
+    opening run and the closing run, read inwards, agree on some layers. Each kind is
+    counted by itself: a layer's partner is its mirror image unless the text between the
+    runs closes its kind so often that it was closed before, or closes it a different
+    number of times than it opens it. The first layer that fails ends the enclosing ones.
     """
+    escaped = F.startswith(c, "\\")
+    width = F.when(escaped, 2).otherwise(1)
+    left = F.replace(F.regexp_extract(c, rf"^(?:(?:{_ESCAPED_OPEN})++|{_PLAIN_OPEN}++)", 0), F.lit("\\"), F.lit(""))
+    closing = F.regexp_extract(F.reverse(c), F.when(escaped, _ESCAPED_CLOSE).otherwise(_PLAIN_CLOSE), 0)
+    right = F.translate(F.replace(closing, F.lit("\\"), F.lit("")), ")]}", _OPENERS)
+
+    def agreed(x: Sql) -> Sql:
+        """Layers on which both runs agree, from the outside."""
+        shorter = F.least(F.length(x["left"]), F.length(x["right"]))
+        first = F.array_position(
+            F.zip_with(F.split(x["left"], "", -1), F.split(x["right"], "", -1), lambda a, b: F.coalesce(a == b, F.lit(True))), F.lit(False)
+        )
+        same = F.startswith(x["left"], x["right"]) | F.startswith(x["right"], x["left"])
+        return F.when(same, shorter).otherwise(F.least(shorter, (first - 1).cast("int")))
+
+    def enclosing(layers: Sql, m: Sql) -> Sql:
+        """How many of the ``m`` agreed layers enclose the text."""
+        middle = F.substring(c, m * width + 1, F.length(c) - 2 * m * width)
+        # Plain ones also count behind a backslash.
+        marks = F.regexp_extract_all(middle, F.when(escaped, r"\\[()\[\]{}]").otherwise(r"[()\[\]{}]"), 0)
+        marks = F.transform(marks, lambda t: F.substring(t, F.length(t), F.lit(1)))
+        pairs = [(o, k) for o, k in zip(_OPENERS, ")]}", strict=True)]
+        start = F.struct(*[F.lit(0).alias(f"{w}{i}") for i in range(len(pairs)) for w in ("now", "low")])
+
+        def count(d: Sql, t: Sql) -> Sql:
+            now = [d[f"now{i}"] + F.when(t == o, 1).when(t == k, -1).otherwise(0) for i, (o, k) in enumerate(pairs)]
+            return F.struct(*[x for i, n in enumerate(now) for x in (n.alias(f"now{i}"), F.least(n, d[f"low{i}"]).alias(f"low{i}"))])
+
+        def first_failure(d: Sql) -> Sql:
+            ends = []
+            for i, (o, _) in enumerate(pairs):
+                n = F.length(layers) - F.length(F.replace(layers, F.lit(o), F.lit("")))
+                fine = F.when(d[f"now{i}"] == 0, F.greatest(n + d[f"low{i}"], F.lit(0))).otherwise(0)
+                # The text before the first such layer that is not fine; all of it if every one is.
+                ends.append(F.length(F.substring_index(layers, o, fine + 1)))
+            return F.least(*ends)
+
+        return let(F.aggregate(marks, start, count), first_failure)
 
     def cut(k: Sql) -> Sql:
-        return F.substring(c, k + 1, F.length(c) - 2 * k)
+        return F.substring(c, k * width + 1, F.length(c) - 2 * k * width)
 
-    def unwrapped(run: Sql, l: Sql) -> Sql:
-        r = F.translate(l, "([{", ")]}")
-        back = F.regexp_extract(
-            F.reverse(c), F.when(F.length(l) == 2, _RIGHT_RUN_ESCAPED).otherwise(_RIGHT_RUN), 0
-        )
-        # Characters, a multiple of the length of one parenthesis.
-        sides = let(
-            back,
-            lambda b: F.when(F.startswith(b, F.reverse(r)), F.least(F.length(run), F.length(b))).otherwise(0),
+    def unwrapped(x: Sql) -> Sql:
+        return let(
+            agreed(x),
+            lambda m: F.when(m == 0, c).otherwise(let(enclosing(F.substring(x["left"], F.lit(1), m), m), cut)),
         )
 
-        def layers(m: Sql) -> Sql:
-            # Plain ones also count behind a backslash.
-            marks = F.regexp_extract_all(
-                cut(m), F.when(F.length(l) == 2, r"\\[()\[\]{}]").otherwise(r"[()\[\]{}]"), 0
-            )
-            depth = F.aggregate(
-                marks,
-                F.struct(F.lit(0).alias("now"), F.lit(0).alias("low")),
-                lambda d, t: let(
-                    d["now"] + F.when(t == l, 1).when(t == r, -1).otherwise(0),
-                    lambda now: F.struct(now.alias("now"), F.least(now, d["low"]).alias("low")),
-                ),
-            )
-            enclosing = let(
-                depth,
-                lambda d: F.when(d["now"] == 0, F.greatest(m + d["low"] * F.length(l), F.lit(0))).otherwise(0),
-            )
-            return let(enclosing, cut)
-
-        return let(sides, lambda m: F.when(m == 0, c).otherwise(layers(m)))
-
-    run = F.regexp_extract(c, f"^(?:{_LEFT_RUN})", 0)
-    one = lambda x: F.substring(x, F.lit(1), F.when(F.startswith(x, "\\"), 2).otherwise(1))
-    return F.when(
-        c.rlike(r"^\\?[(\[{]"), let(run, lambda x: let(one(x), lambda l: unwrapped(x, l)))
-    ).otherwise(c)
+    return F.when(c.rlike(r"^\\?[(\[{]"), let(F.struct(left.alias("left"), right.alias("right")), unwrapped)).otherwise(c)
 
 
 def unwrap_all(c: Sql) -> Sql:
@@ -86,8 +96,8 @@ def unwrap_all(c: Sql) -> Sql:
     return let(
         c,
         lambda s: let(
-            # Every round removes what it can of one run of equal leading parentheses.
-            F.size(F.regexp_extract_all(F.regexp_extract(s, r"^(?:\\?[(\[{])++", 0), _LEFT_RUN, 0)),
+            # Every round removes what it can of one run of plain or escaped leading parentheses.
+            F.size(F.regexp_extract_all(F.regexp_extract(s, r"^(?:\\?[(\[{])++", 0), rf"(?:{_ESCAPED_OPEN})++|{_PLAIN_OPEN}++", 0)),
             lambda n: F.when(n == 0, s).otherwise(
                 F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), s, lambda acc, _: unwrap_run(acc))
             ),

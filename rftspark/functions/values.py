@@ -129,7 +129,8 @@ def closed_form_value(c: Sql) -> Sql:
     flat = F.regexp_replace(F.regexp_replace(flat, r"^\*+|\*+$", ""), r"([-+])\*+", "$1")
     flat = F.regexp_replace(F.regexp_replace(flat, r"\*+([-+])", "$1"), r"\*{2,}", "*")
     return F.when(
-        c.rlike(r"[\d\\]") & ~c.rlike(r"[,=<>&]|\\(?:infty|cup|cap|begin)"),
+        # A mixed number is a sum, see ``expressions``.
+        c.rlike(r"[\d\\]") & ~c.rlike(r"[,=<>&]|\\(?:infty|cup|cap|begin)|\d\\frac\{\d+\}\{\d+\}(?!\^)"),
         let(flat, lambda s: _sum_of_products(s, f"{_RATIO}|{_ROOT}|{_NUMBER}", _with_ratios)),
     )
 

@@ -96,7 +96,121 @@ from (select l_orderkey, l_linenumber, l_suppkey, l_partkey, cast(l_quantity as
       from {lineitem}) q
 """
 
-VIEWS = {"resp": RESP, "trials": TRIALS, "qa": QA, "forms": FORMS}
+# Values written as composed expressions; a wrong one is off by one.
+COMPOSED = r"""
+select resp_id, form, same,
+  case form
+    when 0 then concat(f, 'frac{', a + off, '}{', 3 * b, '}')
+    when 1 then concat(2 * (a + b) + off, '')
+    when 2 then concat(case b when 2 then 2 when 3 then 6 when 4 then 24 when 5 then 120 when 6 then 720 when 7 then 5040 else 40320 end + off, '')
+    when 3 then concat(b + off, '')
+    when 4 then concat(a + off, '.5')
+    when 5 then concat(b + off, '')
+    when 6 then concat(a + off, '.5')
+    when 7 then concat(cast(b * (b - 1) / 2 as int) + off, '')
+    when 8 then concat(a + off, '')
+    when 9 then concat(a * a - 1 + off, '')
+    when 10 then concat(2 * a - b + off, '')
+    when 11 then concat(f, 'frac{', a * (b + 1) + off, '}{2}')
+    when 12 then concat(a + 1 + off, '')
+    when 13 then concat(a + off, '')
+    when 14 then concat(f, 'frac{', a + b + off, '}{2}')
+    when 15 then concat(cast(power(2, b + 1) as bigint) + off, '')
+    when 16 then concat(a + off, '')
+    when 17 then concat(b + off, '')
+    when 18 then concat(a + 1 + off, '')
+    else concat(a + off, '') end as ref_ans,
+  case form
+    when 0 then concat(f, 'frac{', f, 'frac{', a, '}{', b, '}}{3}')
+    when 1 then concat('2(', a, '+', b, ')')
+    when 2 then concat(b, '!')
+    when 3 then concat(f, 'log_2 ', cast(power(2, b) as bigint))
+    when 4 then concat(a, '+', f, 'sin{', f, 'frac{', f, 'pi}{6}}')
+    when 5 then concat(f, 'ln(e^', b, ')')
+    when 6 then concat(a, f, 'frac{1}{2}')
+    when 7 then concat(f, 'binom{', b, '}{2}')
+    when 8 then concat(f, 'frac{', a, '^{3}}{', a, '^{2}}')
+    when 9 then concat('(', a, '+1)(', a, '-1)')
+    when 10 then concat(a, '-(', b, '-', a, ')')
+    when 11 then concat(f, 'frac{', a, '(', b, '+1)}{2}')
+    when 12 then concat(f, 'sqrt{', a, '^{2}+2*', a, '+1}')
+    when 13 then concat(f, 'lfloor ', a, '.7', f, 'rfloor')
+    when 14 then concat('((', a, '+', b, ')*2)/4')
+    when 15 then concat('2^{', b, '+1}')
+    when 16 then concat(a, f, 'tan{', f, 'frac{', f, 'pi}{4}}')
+    when 17 then concat(f, 'frac{', b, '!}{(', b, '-1)!}')
+    when 18 then concat(f, 'cos{0}+', a)
+    else concat('-(-', a, ')') end as pred
+from (select concat(cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(20)), '-',
+          cast(l_suppkey as varchar(20)), '-', cast(l_partkey as varchar(20))) as resp_id,
+        cast(l_quantity as int) as a, cast(l_linenumber as int) + 1 as b, cast(l_partkey % 2 as int) as off, l_partkey % 2 = 0 as same,
+        chr(92) as f, cast((l_orderkey + l_linenumber) % 20 as int) as form
+      from {lineitem}) q
+"""
+
+# Expressions and relations with free variables in two written forms.
+IDENTITIES = r"""
+select resp_id, form, same,
+  case form
+    when 0 then concat('x+', a)
+    when 1 then concat('(x+', a, ')^2')
+    when 2 then concat('x<', a)
+    when 3 then concat('x^2-', a * a)
+    when 4 then concat(f, 'frac{x+y}{', b, '}')
+    when 5 then concat(f, 'sin^2 x+', f, 'cos^2 x+', a)
+    when 6 then concat(a, 'x+y=', b)
+    when 7 then concat('x', f, 'geq ', a)
+    when 8 then concat(f, 'frac{x^2-', a * a, '}{x-', a, '}')
+    else concat('(a+b)^', b) end as ref_ans,
+  case form
+    when 0 then concat(a + off, '+x')
+    when 1 then concat('x^2+', 2 * a, 'x+', a * a + off)
+    when 2 then concat(a + off, '>x')
+    when 3 then concat('(x-', a + off, ')(x+', a, ')')
+    when 4 then concat('x/', b, '+y/', b + off)
+    when 5 then concat(a + 1 + off, '')
+    when 6 then concat(b + off, '-y=', a, 'x')
+    when 7 then concat(a + off, f, 'leq x')
+    when 8 then concat('x+', a + off)
+    else concat('(b+a)^{', b - 1 + off, '}(a+b)') end as pred
+from (select concat(cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(20)), '-',
+          cast(l_suppkey as varchar(20)), '-', cast(l_partkey as varchar(20))) as resp_id,
+        cast(l_quantity as int) as a, cast(l_linenumber as int) + 1 as b, cast(l_partkey % 2 as int) as off, l_partkey % 2 = 0 as same,
+        chr(92) as f, cast((l_orderkey + l_linenumber) % 10 as int) as form
+      from {lineitem}) q
+"""
+
+# Unions and intersections of intervals, and their normal form.
+UNIONS = r"""
+select resp_id, form, same,
+  case form
+    when 0 then concat('[', a, ',', a + 9 + off, ']')
+    when 1 then concat('(', a, ',', a + 9 + off, ')')
+    when 2 then concat('[', a, ',', a + 9 + off, ']')
+    when 3 then concat('(', a, ',', a + 9, case off when 0 then ')' else ']' end)
+    when 4 then concat('[', a + 3, ',', a + 5 + off, ']')
+    when 5 then concat('(-', f, 'infty,', f, 'infty)')
+    when 6 then concat('(', a, ',', a + 5, ')', f, 'cup(', a + 5, ',', a + 9 + off, ')')
+    else concat('[', a, ',', a + 2, ')', f, 'cup(', a + 4 + off, ',', a + 9, ']') end as ref_ans,
+  case form
+    when 0 then concat('[', a, ',', a + 5, ']', f, 'cup[', a + 5, ',', a + 9, ']')
+    when 1 then concat('(', a, ',', a + 9, ')', f, 'cup(', a + 1, ',', a + 2, ')')
+    when 2 then concat('(', a + 3, ',', a + 9, ']', f, 'cup[', a, ',', a + 5, ')')
+    when 3 then concat('(', a, ',', a + 5, ')', f, 'cup', f, '{', a + 5, f, '}', f, 'cup(', a + 5, ',', a + 9, ')')
+    when 4 then concat('[', a, ',', a + 5, ']', f, 'cap[', a + 3, ',', a + 9, ']')
+    when 5 then concat('(-', f, 'infty,', a, ']', f, 'cup[', a - 1 + 2 * off, ',', f, 'infty)')
+    when 6 then concat('(', a + 5, ',', a + 9, ')', f, 'cup(', a, ',', a + 5, ')')
+    else concat('(', a + 4, ',', a + 9, ']', f, 'cup[', a, ',', a + 1, ']', f, 'cup[', a + 1, ',', a + 2, ')') end as pred
+from (select concat(cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(20)), '-',
+          cast(l_suppkey as varchar(20)), '-', cast(l_partkey as varchar(20))) as resp_id,
+        cast(l_quantity as int) as a, cast(l_partkey % 2 as int) as off, l_partkey % 2 = 0 as same,
+        chr(92) as f, cast((l_orderkey + l_linenumber) % 8 as int) as form
+      from {lineitem}) q
+"""
+
+VIEWS = {
+    "resp": RESP, "trials": TRIALS, "qa": QA, "forms": FORMS, "composed": COMPOSED, "identities": IDENTITIES, "unions": UNIONS,
+}
 
 CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 

@@ -167,9 +167,34 @@ def grade_forms(spark, sf):
     return grading.grade(_form_responses(spark, sf), mode="math").select("resp_id", "form", "correct")
 
 
+def _written(spark, sf, name):
+    """Verdicts of a view of (ref_ans, pred), the answer in a box."""
+    text = F.concat(F.lit("So it is \\boxed{"), F.col("pred"), F.lit("}."))
+    rows = spread(view(spark, sf, name)).select("*", text.alias("resp"), F.lit("What is x?").alias("query"))
+    return grading.grade(rows, mode="math", dedup=True).select("resp_id", "form", "correct")
+
+
+@query("select resp_id, form, same as correct from {composed} f")
+def grade_composed(spark, sf):
+    """Twenty composed forms: brackets, nested ratios, powers, factorials, logarithms, mixed numbers."""
+    return _written(spark, sf, "composed")
+
+
+@query("select resp_id, form, same as correct from {identities} f")
+def grade_identities(spark, sf):
+    """Expressions, equations and inequalities with free variables."""
+    return _written(spark, sf, "identities")
+
+
+@query("select resp_id, form, same as correct from {unions} f")
+def interval_unions(spark, sf):
+    """Touching, nested and overlapping parts, single points, intersections, infinite ends."""
+    return _written(spark, sf, "unions")
+
+
 @query("select doc_id, doc_id % 2 = 0 as correct from documents")
 def grade_long_answers(spark, sf):
-    """Answers as long as the documents: nested parentheses, a long ratio, a long sum of roots."""
+    """Answers as long as the documents: nested and alternating parentheses, a long ratio, a long sum of roots."""
     text = """
       select doc_id, 'math/train' as dataset, 'What is x?' as query, 'stop' as finish_reason,
         case doc_id % 6 div 2
@@ -177,7 +202,8 @@ def grade_long_answers(spark, sf):
           when 1 then concat(chr(92), 'frac{', w + 2 * off, '}{2}')
           else cast(2 * w + off as string) end as ref_ans,
         concat('The answer is ', chr(92), 'boxed{', case doc_id % 6 div 2
-          when 0 then concat(repeat('(', w), doc_id, repeat(')', w))
+          when 0 then case when doc_id % 12 < 6 then concat(repeat('(', w), doc_id, repeat(')', w))
+            else concat(repeat('([', 20 * w), doc_id, repeat('])', 20 * w)) end
           when 1 then concat(chr(92), 'frac{', repeat('1+', w - 1), '1}{2}')
           else concat(repeat(concat(chr(92), 'sqrt{4}+'), w - 1), chr(92), 'sqrt{4}') end, '}') as resp
       from (select doc_id, cast(doc_id % 2 as int) as off,
