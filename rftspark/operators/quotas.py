@@ -157,11 +157,13 @@ def proportional_targets(rates: DataFrame, k_p: int) -> DataFrame:
 
 
 def proportional_quota(pool: DataFrame, by: list[str], order: list[str], k_p: int) -> DataFrame:
-    """Correct responses per query in proportion to its difficulty."""
-    targets = proportional_targets(difficulty(pool, by), k_p).select(*by, "target")
+    """Correct responses per query in proportion to its difficulty. A null key is a query of its own."""
+    targets = proportional_targets(difficulty(pool, by), k_p)
+    targets = targets.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], F.col("target").alias("_target"))
     # Cut to k_p rows per query first: what then meets the targets is bounded and even.
     candidates = first_k_ranked(pool.filter("correct"), by, order, k_p)
-    return candidates.join(targets, by).filter(F.col("_rank") <= F.col("target")).drop("_rank")
+    same = [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)]
+    return candidates.join(targets, same).filter(F.col("_rank") <= F.col("_target")).select(*pool.columns)
 
 
 def first_k_ranked(df: DataFrame, by: list[str], order: list[str], k: int) -> DataFrame:

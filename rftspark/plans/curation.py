@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,17 +45,18 @@ def curate(
 ) -> Curated:
     """Scan graded runs and keep ``k_u`` corrects per query (or, with ``k_p``, by difficulty).
 
-    Arrival order is file name, then path, then position in the file.
+    Arrival order is that of the folders as given, then path, then position in the file.
     """
-    scan = scan_runs(spark, dirs, schema, name_pattern).withColumn("row_no", F.monotonically_increasing_id())
-    order = ["file_name", "file_path", "file_block", "row_no"]
+    folders = [scan_runs(spark, [d], schema, name_pattern).withColumn("folder", F.lit(i)) for i, d in enumerate(dirs)]
+    scan = functools.reduce(DataFrame.unionByName, folders).withColumn("row_no", F.monotonically_increasing_id())
+    order = ["folder", "file_path", "file_block", "row_no"]
     if k_p is None:
         chosen = uniform_quota(scan, ["query"], order, k_u)
     else:
         chosen = proportional_quota(scan, ["query"], order, k_p)
     counts = corrects_per_query(scan, ["query"])
     if out:
-        write_jsonl(chosen.drop(*order, "file_path"), out)
+        write_jsonl(chosen.drop(*order, "file_name"), out)
     return Curated(
         chosen=chosen,
         per_file=rows_per_file(scan),

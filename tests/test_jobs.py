@@ -141,3 +141,13 @@ def test_stream_equals_batch_replay(spark):
     got = {(r.q, r.seq) for r in spark.read.parquet(out).collect()}
     batch = quotas.replay(spark.createDataFrame(rows, "q int, seq int, correct boolean"), ["q"], ["seq"], 35, 6, 10)
     assert got == {(r.q, r.seq) for r in batch.collect()}
+
+
+def test_folders_arrive_in_the_order_given(spark):
+    root = scratch_path(spark, "order")
+    for name in "ab":
+        rows = [("d", "q", f"{name}{i}", True) for i in range(3)]
+        files.write_jsonl(spark.createDataFrame(rows, "dataset string, query string, resp string, correct boolean").coalesce(1), f"{root}/{name}")
+    for dirs, want in ((["a", "b"], ["a0", "a1", "a2", "b0"]), (["b", "a"], ["a0", "b0", "b1", "b2"])):
+        done = curation.curate(spark, [f"{root}/{d}" for d in dirs], "part", 4)
+        assert sorted(r.resp for r in done.chosen.collect()) == want

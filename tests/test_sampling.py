@@ -156,3 +156,11 @@ def test_too_long_a_sequence_is_an_error(spark):
     df = spark.createDataFrame([("a", 101)], "id string, len int")
     with pytest.raises(Exception, match="no pack can hold"):
         packing.assign_packs(df, 100, stretches=1).collect()
+
+
+def test_a_null_key_has_its_quota(spark):
+    rows = [(q, i, i % 2 == 0) for q in ("a", None) for i in range(6)]
+    pool = spark.createDataFrame(rows, "query string, seq int, correct boolean")
+    kept = quotas.proportional_quota(pool, ["query"], ["seq"], 3)
+    assert kept.columns == pool.columns
+    assert {r[0]: r[1] for r in kept.groupBy("query").count().collect()} == {"a": 3, None: 3}
