@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from rftspark.llm.lines import dedup_lines
 from rftspark.llm.packing import pack
 from rftspark.llm.quality import learned, scored
-from rftspark.llm.shingles import near_texts
+from rftspark.llm.simhash import near_duplicates
 from rftspark.llm.substrings import remove_repeats
-from rftspark.runtime import shared_root
+from rftspark.runtime import pinned, shared_root
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -37,15 +37,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first row of each component of texts alike in 0.8 of their 5-word shingles. First goes by
-    id, then by a hash of the text; null ids come last. Of rows equal in both any one stays."""
-    rows = near_texts(docs).groupBy("k", "tie", "root").agg(F.count("*").alias("times"))
-    order = F.struct(F.col("k").isNull().alias("none"), "k", "tie", "times")
-    first = rows.groupBy("root").agg(F.min(order).alias("first")).select("first.k", "first.tie", "first.times")
-    own = docs.withColumn("_tie", F.xxhash64("text"))
-    kept = own.join(first, (own["_tie"] == first["tie"]) & own["doc_id"].cast("long").eqNullSafe(first["k"]))
-    again = kept.filter("times > 1").dropDuplicates(["doc_id", "_tie"])
-    return kept.filter("times = 1").unionByName(again).select(*docs.columns)
+    """One row of each component of fingerprints that differ in 2 or fewer bits, over 3-word shingles.
+
+    The row with the smallest id stays, null ids last; of rows that share it any one. Null and
+    empty texts have fingerprint 0 and are one component.
+    """
+    rows = pinned(docs.withColumn("_row", F.monotonically_increasing_id()))
+    classes = near_duplicates(rows.select("_row", "text"), "_row").withColumnRenamed("_row", "_of")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    members = rows.select("_row", "doc_id").join(classes, F.col("_row") == F.col("_of"))
+    first = members.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
