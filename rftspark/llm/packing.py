@@ -70,7 +70,8 @@ class WordTokenizer:
             if core.isascii():
                 letters, low = core.isalpha(), core.lower()
             else:
-                letters, low = core.decode().isalpha(), core
+                # In lower case, too: a letter may become two characters, the second of them a mark.
+                letters, low = core.decode().isalpha() and core.decode().lower().isalpha(), core
             if not letters:
                 odd.append(i)
                 continue
