@@ -132,10 +132,10 @@ def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
     with recursive v as (
-        select vec_id, label, list_transform(embedding, x -> x::double) as e from embeddings
+        select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
         where label is not null and embedding is not null
-          and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
-          and len(list_filter(embedding, x -> x <> 0)) > 0
+          and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+          and len(list_filter(embedding, lambda x: x <> 0)) > 0
     ), l as (
         select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
         where list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e)) >= 0.93
