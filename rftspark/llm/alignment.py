@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from ..runtime import pinned
 
-#: Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK = 12 << 20
+#: Characters of text in a chunk, and in a part of it that is cut into units at a time; a longer text is one of its own.
+CHUNK, PART = 3 << 20, 1 << 20
 #: Characters encoded in one call, and units that a worker remembers from chunk to chunk.
-BLOCK, REMEMBERED = 2_000, 300_000
+BLOCK, REMEMBERED = 2_000, 200_000
 #: Where a unit begins; a single space that ends a text stays with the unit before it.
 UNIT = re.compile(r"(?<=\S)(?= (?!\Z))")
 #: A pair of ids as one number: A's id times this, plus B's.
@@ -75,22 +75,45 @@ class Aligner:
         if any(b" " in p.lstrip(b" ") for p in self.bytes_b):
             raise ValueError("a piece reaches over a unit")
         self.len_a, self.len_b = lengths(self.bytes_a), lengths(self.bytes_b)
-        self.names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
-        self.proto = operator.attrgetter("id", "begin", "end")
-        self.restart([])
-
-    def restart(self, kept: list[int]) -> None:
-        """Forget all units but those of the given numbers."""
-        if kept:
-            old_units, old = list(self.number), (self.groups, self.stats, self.pairs)
+        # An id as it stands in a list of groups, before a token of its side and at the side's end.
+        self.named_a, self.named_b = (
+            np.array([f"{i}{mark}" for mark in marks for i in range(len(entries))], object)
+            for marks, entries in ((",|", self.bytes_a), (",;", self.bytes_b))
+        )
+        self.proto = operator.attrgetter("id", "begin")
         self.number: dict[str, int] = {}
         self.groups: list[str | None] = []
-        self.stats: list[tuple[int, int, int, int]] = []
-        self.pairs: list[np.ndarray] = []
-        for i in kept:
-            self.number[old_units[i]] = len(self.groups)
-            for new, was in zip((self.groups, self.stats, self.pairs), old, strict=True):
-                new.append(was[i])
+        # Of each unit its counts and where its pairs end in ``flat``; what is new lies in blocks.
+        self.stats, self.ends, self.flat = np.zeros((0, 4), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
+        self.seen = np.zeros(0, np.int64)
+
+    def settle(self) -> None:
+        """Put the blocks behind what is known."""
+        if self.fresh:
+            stats, flat = (np.concatenate(x) for x in zip(*self.fresh, strict=True))
+            self.stats, self.flat = np.concatenate([self.stats, stats]), np.concatenate([self.flat, flat])
+            self.ends, self.fresh = np.cumsum(self.stats[:, 3]), []
+
+    def pairs_of(self, units: np.ndarray) -> np.ndarray:
+        """The pairs of units, one unit after the other."""
+        n = self.stats[units, 3]
+        first = self.ends[units] - n
+        return self.flat[np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+
+    def forget(self) -> None:
+        """Remember nothing but the units seen most often, half as many as may be remembered at most."""
+        least = 2
+        while (self.seen >= least).sum() > REMEMBERED // 2:
+            least *= 2
+        kept = np.flatnonzero(self.seen >= least)
+        self.seen = self.seen[kept] // 2
+        names = list(self.number)
+        flat = self.pairs_of(kept)
+        self.number = {names[i]: k for k, i in enumerate(kept.tolist())}
+        self.groups = [self.groups[i] for i in kept.tolist()]
+        self.stats, self.flat = self.stats[kept], flat
+        self.ends = np.cumsum(self.stats[:, 3])
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids and byte ends of both tokenizers; None where their bytes are not those of the text.
@@ -105,16 +128,15 @@ class Aligner:
             code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
             at = np.r_[0, np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))][at]
         pieces = self.b.encode(text[1:], return_type="proto").pieces
-        rows = np.fromiter(itertools.chain.from_iterable(map(self.proto, pieces)), np.int64).reshape(-1, 3)
-        ids_b, span = rows[:, 0], rows[:, 1:] + 1
+        rows = np.fromiter(itertools.chain.from_iterable(map(self.proto, pieces)), np.int64).reshape(-1, 2)
+        ids_b, begin = rows[:, 0], rows[:, 1] + 1
         for ids, entries in ((ids_a, self.bytes_a), (ids_b, self.bytes_b)):
             if b"".join(map(entries.__getitem__, ids.tolist())) != data:
                 return None
         ends_a, ends_b = np.cumsum(self.len_a[ids_a]), np.cumsum(self.len_b[ids_b])
-        split = self.is_byte[ids_b]
-        coarse_a = np.r_[at[1:, 0] >= at[:-1, 1], True]
-        coarse_b = np.r_[(span[1:, 0] == span[:-1, 1]) & ~(split[:-1] & split[1:]), True]
-        if (ends_a[coarse_a] != at[coarse_a, 1]).any() or (ends_b[coarse_b] != span[coarse_b, 1]).any():
+        # Coarse cuts: the next token begins with a new character, or behind the bytes of this one.
+        coarse_a, coarse_b = np.flatnonzero(at[1:, 0] >= at[:-1, 1]), np.flatnonzero(begin[1:] > begin[:-1])
+        if (ends_a[coarse_a] != at[coarse_a, 1]).any() or (ends_b[coarse_b] != begin[coarse_b + 1]).any():
             raise ValueError("spans and decoded bytes of a token differ")
         return ids_a, ends_a, ids_b, ends_b
 
@@ -131,20 +153,20 @@ class Aligner:
             raise ValueError("a token reaches over a unit")
         pair = ids_a[np.searchsorted(ends_a, cuts)] * PAIR + ids_b[np.searchsorted(ends_b, cuts)]
         place = [np.searchsorted(e, stop, "right") for e in (ends_a, ends_b, shared, cuts)]
-        last = [np.searchsorted(e, shared, "right").tolist() for e in (ends_a, ends_b)]
-        sa, sb = (list(map(self.names.__getitem__, ids.tolist())) for ids in (ids_a, ids_b))
-        i = j = 0
-        groups = []
-        for k, n in zip(*last, strict=True):
-            groups.append((sa[i] if k == i + 1 else ",".join(sa[i:k])) + "|" + (sb[j] if n == j + 1 else ",".join(sb[j:n])))
-            i, j = k, n
-        counts = np.stack([np.diff(p, prepend=0) for p in place], axis=1)
-        self.stats += map(tuple, counts.tolist())
-        self.pairs += np.split(pair, place[3][:-1])
+        # Group by group, the ids of A and then those of B.
+        last_a, last_b = (np.searchsorted(e, shared) for e in (ends_a, ends_b))
+        of_a, of_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
+        ids = np.empty(len(ids_a) + len(ids_b), object)
+        closes_a, closes_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
+        closes_a[last_a], closes_b[last_b] = len(self.bytes_a), len(self.bytes_b)
+        ids[np.arange(len(ids_a)) + np.r_[0, last_b + 1][of_a]] = self.named_a[ids_a + closes_a]
+        ids[np.arange(len(ids_b)) + (last_a + 1)[of_b]] = self.named_b[ids_b + closes_b]
+        ids = ids.tolist()
         begin = 0
-        for end in place[2].tolist():
-            self.groups.append(";".join(groups[begin:end]))
+        for end in (place[0] + place[1]).tolist():
+            self.groups.append("".join(ids[begin:end])[:-1])
             begin = end
+        self.fresh.append((np.stack([np.diff(p, prepend=0) for p in place], axis=1), pair))
         return True
 
     def learn(self, units: list[str]) -> None:
@@ -160,8 +182,7 @@ class Aligner:
                 for u in part:
                     if len(part) == 1 or not self._add([u]):
                         self.groups.append(None)
-                        self.stats.append((0, 0, 0, 0))
-                        self.pairs.append(np.zeros(0, np.int64))
+                        self.fresh.append((np.zeros((1, 4), np.int64), np.zeros(0, np.int64)))
             self.number.update(zip(part, range(begin, len(self.groups)), strict=True))
 
         for u in units:
@@ -175,47 +196,53 @@ class Aligner:
                 block, size = [], 0
         flush(block)
 
+    def part(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """(units of all texts, how many each has, groups of each)."""
+        split = [UNIT.split(" " + t) if t else [] for t in texts]
+        self.learn(list(set().union(*split).difference(self.number)))
+        every = list(map(self.number.__getitem__, itertools.chain.from_iterable(split)))
+        sizes, groups, known, begin = [], [], [], 0
+        for us in split:
+            found = list(map(self.groups.__getitem__, every[begin : begin + len(us)]))
+            # A text with a unit whose bytes differ has no tokens at all.
+            fine = None not in found
+            sizes.append(len(us) if fine else 0)
+            groups.append(";".join(found) if fine else "")
+            known.append(every[begin : begin + len(us)] if fine else [])
+            begin += len(us)
+        return np.fromiter(itertools.chain.from_iterable(known), np.int32, sum(sizes)), np.array(sizes, np.int64), groups
+
     def chunk(self, keys: list, texts: list[str | None], with_groups: bool) -> dict:
         """One row: the documents, their units, and the units' distinct pairs."""
         if len(self.groups) > REMEMBERED:
-            self.restart(self.often)
-        split = [UNIT.split(" " + t) if t else [] for t in texts]
-        number = self.number
-        new = {u for us in split for u in us if u not in number}
-        self.learn(list(new))
-        bound = np.cumsum([len(us) for us in split])
-        numbers = np.fromiter((number[u] for us in split for u in us), np.int64, int(bound[-1]))
-        bad = np.fromiter((g is None for g in self.groups), bool, len(self.groups))
-        # Documents with a unit whose bytes differ have no tokens at all.
-        wrong = np.zeros(len(texts), bool)
-        wrong[np.searchsorted(bound, np.flatnonzero(bad[numbers]), "right")] = True
-        sizes = np.diff(bound, prepend=0)
-        numbers = numbers[np.repeat(~wrong, sizes)]
-        sizes[wrong] = 0
+            self.forget()
+        numbers, sizes, groups, sha, begin = [], [], [], [], 0
+        long = np.cumsum([len(t or "") for t in texts]) // PART
+        for end in [*(np.flatnonzero(np.diff(long)) + 1).tolist(), len(texts)]:
+            n, size, text = self.part(texts[begin:end])
+            numbers.append(n)
+            sizes.append(size)
+            groups += text if with_groups else [None] * len(text)
+            sha += [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in text]
+            begin = end
+        self.settle()
+        numbers, sizes = np.concatenate(numbers), np.concatenate(sizes)
         bound = np.cumsum(sizes)
         times = np.bincount(numbers, minlength=len(self.groups))
         here = np.flatnonzero(times)
-        self.often = np.flatnonzero(times > 1).tolist()
-        local = np.zeros(len(self.groups), np.int64)
+        self.seen = times + np.pad(self.seen, (0, len(times) - len(self.seen)))
+        local = np.zeros(len(self.groups), np.int32)
         local[here] = np.arange(len(here))
-        flat = [self.pairs[i] for i in here.tolist()]
-        n_pairs = np.fromiter(map(len, flat), np.int64, len(flat))
-        flat = np.concatenate(flat) if flat else np.zeros(0, np.int64)
+        stats, flat = self.stats[here], self.pairs_of(here)
+        n_pairs = stats[:, 3]
         pairs, of = np.unique(flat, return_inverse=True)
-        stats = np.array([self.stats[i] for i in here.tolist()], np.int64).reshape(-1, 4)
         unit = local[numbers]
-        sums = np.zeros((len(texts), 4), np.int64)
-        whole = np.r_[np.zeros((1, 4), np.int64), np.cumsum(stats[unit], axis=0)]
-        sums[:] = whole[bound] - whole[bound - sizes]
-        groups, sha, begin = [], [], 0
-        named = numbers.tolist()
-        for end in bound.tolist():
-            text = ";".join(map(self.groups.__getitem__, named[begin:end]))
-            groups.append(text if with_groups else None)
-            sha.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
-            begin = end
+        sums = []
+        for column in stats.T:
+            whole = np.r_[0, np.cumsum(column[unit])]
+            sums.append(whole[bound] - whole[bound - sizes])
         return {
-            "chunk": uuid.uuid4().hex, "keys": keys, **dict(zip(STATS, sums.T, strict=True)), "groups": groups, "sha": sha,
+            "chunk": uuid.uuid4().hex, "keys": keys, **dict(zip(STATS, sums, strict=True)), "groups": groups, "sha": sha,
             "n_units": sizes, "units": unit, "unit_pairs": n_pairs, "flat": of, "pairs": pairs,
             "times": np.bincount(of, np.repeat(times[here], n_pairs), len(pairs)).astype(np.int64),
         }
@@ -248,7 +275,8 @@ def chunks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str
             done = tool.chunk(keys, texts, with_groups)
             return pa.RecordBatch.from_arrays([pa.array([done[n]], kind) for n, kind in KINDS.items()], list(KINDS))
 
-        for b in batches:
+        # A few rows at a time, so that a batch does not stand in memory twice.
+        for b in (b.slice(i, 256) for b in batches for i in range(0, len(b), 256)):
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 keys.append(k)
                 texts.append(t)
