@@ -113,23 +113,32 @@ def fingerprints(
         "k", "h", "n", "times", "nk", "nh", F.sha2("edited", 256).alias("sha"),
         terms(F.col("t")).alias("own"), terms(F.col("edited")).alias("other"),
     )
-    words = F.explode(F.concat(  # the last row stands for the document, whatever its terms
-        F.transform("own", lambda x: F.struct(F.lit(0).alias("side"), x.alias("term"))),
-        F.transform("other", lambda x: F.struct(F.lit(1).alias("side"), x.alias("term"))),
-        F.array(F.struct(F.lit(2).alias("side"), F.lit(0).cast("long").alias("term"))),
-    ))
-    whole = [F.xxhash64(F.sort_array(c)).alias(f"all_{c}") for c in ("own", "other")]
-    sides = sides.select("*", *whole)  # before the explode, else once per term
-    spread = sides.select("k", "h", "n", "times", "nk", "nh", "sha", "all_own", "all_other", words.alias("w"))
-    spread = spread.select("*", "w.side", "w.term").drop("w")
+    # Most terms are in both texts: one row each, told apart by their place in one list.
+    sides = sides.withColumn("both", F.array_intersect("own", "other"))
+    sides = sides.select(
+        "k", "h", "both", F.array_except("own", "both").alias("gone"), F.array_except("other", "both").alias("come"),
+        F.struct(
+            "n", "times", "nk", "nh", "sha", F.xxhash64(F.sort_array("own")).alias("all_own"),
+            F.xxhash64(F.sort_array("other")).alias("all_other"),
+        ).alias("meta"),
+    )
+    ends = [F.size("both"), F.size("both") + F.size("gone"), F.size("both") + F.size("gone") + F.size("come")]
+    # The last entry stands for the document, whatever its terms; as a term it is a hash, which spreads a join by term.
+    listed = F.concat("both", "gone", "come", F.array("h"))
+    placed = sides.select("k", "h", "meta", *[e.alias(f"e{i}") for i, e in enumerate(ends)], F.posexplode(listed).alias("at", "term"))
+    at, (e0, e1, e2) = F.col("at"), map(F.col, ("e0", "e1", "e2"))
+    spread = placed.select(
+        "k", "h", "term", (at == e2).alias("last"), (at < e1).alias("in_own"),
+        ((at < e0) | (at >= e1) & (at < e2)).alias("in_other"), F.when(at == e2, F.col("meta")).alias("meta"),
+    )
     kept = lexicon(rows, "t", band).withColumn("inside", F.lit(True)).checkpoint()
     kept = F.broadcast(kept) if kept.count() <= largest else kept
-    spread = spread.join(kept, "term", "left").filter("inside or side = 2")
+    spread = spread.join(kept, "term", "left").filter("inside or last").drop("inside")
     grouped = spread.groupBy("k", "h").agg(
-        *[F.first(c).alias(c) for c in ("n", "times", "nk", "nh", "sha", "all_own", "all_other")],
-        F.sort_array(F.collect_set(F.when(F.col("side") == 0, F.col("term")))).alias("own"),
-        F.sort_array(F.collect_set(F.when(F.col("side") == 1, F.col("term")))).alias("other"),
-    )
+        F.first("meta", ignorenulls=True).alias("meta"),
+        F.sort_array(F.collect_set(F.when(F.col("in_own"), F.col("term")))).alias("own"),
+        F.sort_array(F.collect_set(F.when(F.col("in_other"), F.col("term")))).alias("other"),
+    ).select("k", "h", "meta.*", "own", "other")
     signed = grouped.select(
         "k", "h", "n", "times", "nk", "nh", "sha", signatures(F.col("own"), F.col("all_own")).alias("a"),
         signatures(F.col("other"), F.col("all_other")).alias("b"),
