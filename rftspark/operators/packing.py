@@ -64,7 +64,7 @@ def _packs(lens: np.ndarray, pack_len: int, load: int, pack: int) -> tuple[np.nd
     return numbers, offsets
 
 
-#: Stretches whose effect is composed into one table before the walk over all of them.
+#: Tables that are composed into one at a time.
 STRETCHES_PER_BLOCK = 64
 
 
@@ -109,7 +109,7 @@ def assign_packs(
         starts = starts.withColumn("pack", F.coalesce(F.sum("rows").over(before), F.lit(0)) - 1)
         starts = starts.select("_part", F.lit(pack_len).cast("long").alias("load"), F.col("pack").cast("long"))
     else:
-        starts = _start_states(cut, pack_len)
+        starts = _start_states(cut, pack_len, stretches)
     ready = cut.join(starts, "_part")
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -129,20 +129,12 @@ def assign_packs(
     )
 
 
-def _walk(tables: pd.DataFrame, key: str, load: int, pack: int) -> tuple[pd.DataFrame, int, int]:
-    """The state before each of the given tables, in order, and the one after the last."""
-    rows = []
-    for name, end_load, opened in zip(tables[key], tables["end_load"], tables["opened"]):
-        rows.append((name, load, pack))
-        load, pack = int(end_load[load]), pack + int(opened[load])
-    return pd.DataFrame(rows, columns=[key, "load", "pack"]), load, pack
-
-
-def _start_states(cut: DataFrame, pack_len: int) -> DataFrame:
+def _start_states(cut: DataFrame, pack_len: int, stretches: int) -> DataFrame:
     """(``_part``, ``load``, ``pack``): the state every stretch starts from.
 
     Following one table after another is again a table, so blocks of stretches become one
-    table each, all blocks at once. Then the blocks get their start, and their stretches.
+    table each, blocks of those again, until one block is left. On the way back every block
+    hands its start to its members. A task never holds more than a block of tables.
     """
 
     def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -158,30 +150,35 @@ def _start_states(cut: DataFrame, pack_len: int) -> DataFrame:
         for next_end, next_opened in zip(pdf["end_load"], pdf["opened"]):
             opened, end = opened + np.asarray(next_opened)[end], np.asarray(next_end)[end]
         return pd.DataFrame(
-            {"_block": [pdf["_block"].iloc[0]], "end_load": [end.tolist()], "opened": [opened.tolist()]}
+            {"_part": [pdf["_block"].iloc[0]], "end_load": [end.tolist()], "opened": [opened.tolist()]}
         )
 
-    def over_blocks(batches):
-        # An unopened pack counts as full, so the first sequence opens pack 0.
-        load, pack = pack_len, -1
-        for pdf in batches:
-            states, load, pack = _walk(pdf, "_block", load, pack)
-            yield states
-
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_part")
-        return _walk(pdf, "_part", int(pdf["load"].iloc[0]), int(pdf["pack"].iloc[0]))[0]
-
-    tables = cut.groupBy("_part").applyInPandas(
-        summarize, "_part int, end_load array<long>, opened array<long>"
-    )
-    tables = pinned(tables.withColumn("_block", F.floor(F.col("_part") / STRETCHES_PER_BLOCK).cast("int")))
-    blocks = tables.groupBy("_block").applyInPandas(
-        follow, "_block int, end_load array<long>, opened array<long>"
-    )
-    # One table of pack_len + 1 numbers per block streams through one task, no sequence does.
-    starts = blocks.orderBy("_block").coalesce(1).mapInPandas(over_blocks, "_block int, load long, pack long")
-    return tables.join(starts, "_block").groupBy("_block").applyInPandas(inside, "_part int, load long, pack long")
+        load, pack = int(pdf["load"].iloc[0]), int(pdf["pack"].iloc[0])
+        rows = []
+        for part, end_load, opened in zip(pdf["_part"], pdf["end_load"], pdf["opened"]):
+            rows.append((part, load, pack))
+            load, pack = int(end_load[load]), pack + int(opened[load])
+        return pd.DataFrame(rows, columns=["_part", "load", "pack"])
+
+    def in_blocks(tables: DataFrame) -> DataFrame:
+        block = F.floor(F.col("_part") / STRETCHES_PER_BLOCK).cast("int")
+        return pinned(tables.withColumn("_block", block))
+
+    table = "_part int, end_load array<long>, opened array<long>"
+    levels = [in_blocks(cut.groupBy("_part").applyInPandas(summarize, table))]
+    while stretches > STRETCHES_PER_BLOCK:
+        levels.append(in_blocks(levels[-1].groupBy("_block").applyInPandas(follow, table)))
+        stretches = -(-stretches // STRETCHES_PER_BLOCK)
+    # An unopened pack counts as full, so the first sequence opens pack 0.
+    known = levels[-1].withColumns({"load": F.lit(pack_len).cast("long"), "pack": F.lit(-1).cast("long")})
+    state = "_part int, load long, pack long"
+    starts = known.groupBy("_block").applyInPandas(inside, state)
+    for level in reversed(levels[:-1]):
+        known = level.join(starts.withColumnRenamed("_part", "_block"), "_block")
+        starts = known.groupBy("_block").applyInPandas(inside, state)
+    return starts
 
 
 def assemble_packs(

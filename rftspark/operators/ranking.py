@@ -49,6 +49,8 @@ def split_rank(
     totals = totals or {}
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not by and not totals:
+        return _numbered(df, order, target, parts)
     values = {f"_v_{name}": expr for name, expr in totals.items()}
     cut = (
         df.withColumns(values or {})
@@ -82,6 +84,24 @@ def split_rank(
     )
 
 
+def _numbered(df: DataFrame, order: list[str], target: str, parts: int) -> DataFrame:
+    """The rank in the whole table with one exchange of the rows.
+
+    Every range is sorted before it is written, so a row's position there is known without
+    another shuffle; the rows of the ranges before it are one number per range.
+    """
+    at = F.monotonically_increasing_id()
+    ranges = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    cut = pinned(ranges.withColumn("_at", at).withColumn("_part", F.shiftright("_at", 33)))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range, so at most ``parts``.
+    sizes = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    position = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    joined = cut.join(F.broadcast(offsets), "_part")
+    return joined.select(*df.columns, (position + F.col("_before") + 1).alias(target))
+
+
 def dense_index(df: DataFrame, order: list[str], target: str) -> DataFrame:
     """0-based position of every row in the given total order, without a single-task sort."""
     return split_rank(df, [], order, target).withColumn(target, F.col(target) - 1)

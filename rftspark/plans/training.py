@@ -13,7 +13,7 @@ from ..operators.prompts import render, template_table
 from ..operators.ranking import shuffled
 from ..operators.tokens import EOS, PAD_ID, pad_right, sources_and_targets, supervised
 from ..runtime import pinned
-from ..sources.files import materialized
+from ..sources.files import kept_pieces
 
 
 @dataclass(frozen=True)
@@ -40,29 +40,28 @@ def examples_of(
     """Tokenized rows (id, input_ids, labels, attention_mask) of one dataset, cached on request.
 
     The cache name holds everything the ids depend on but the rows themselves; an encoder of
-    one's own is told apart by ``tokenizer_name``, which it must have.
+    one's own is told apart by ``tokenizer_name``, which it must have. Rows fall into pieces
+    by their id: a piece whose rows have changed is tokenized again, the others are read.
     """
-    spark = source.rows.sparkSession
+    rows = source.rows.select(
+        F.concat(F.lit(f"{source.name}:"), F.col(source.key).cast("string")).alias("id"),
+        F.col(source.query).alias("query"),
+        F.col(source.response).alias("response"),
+    )
 
-    def build() -> DataFrame:
-        rows = source.rows.select(
-            F.concat(F.lit(f"{source.name}:"), F.col(source.key).cast("string")).alias("id"),
-            F.col(source.query).alias("query"),
-            F.col(source.response).alias("response"),
-            F.lit(prompt_template).alias("prompt_template"),
-        )
-        rendered = sources_and_targets(render(rows, template_table(spark)), eos=eos)
+    def build(some: DataFrame) -> DataFrame:
+        named = some.withColumn("prompt_template", F.lit(prompt_template))
+        rendered = sources_and_targets(render(named, template_table(rows.sparkSession)), eos=eos)
         return supervised(rendered, max_len, pad_id, make_encoder).select(
             "id", "input_ids", "labels", "attention_mask"
         )
 
     if not cache_home:
-        return build()
+        return build(rows)
     if make_encoder is not None and tokenizer_name is None:
         raise ValueError("a cached table of one's own encoder needs a tokenizer_name")
-    return materialized(
-        build, spark, cache_home, source.name, source.key, source.query, source.response,
-        tokenizer_name or "words", prompt_template, max_len, eos, pad_id,
+    return kept_pieces(
+        rows, build, cache_home, "id", source.name, tokenizer_name or "words", prompt_template, max_len, eos, pad_id,
     )
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,10 +79,9 @@ def split_ranges(df: DataFrame, order: list[str], rows: int) -> DataFrame:
 
 
 def write_splits(df: DataFrame, path: str, order: list[str], rows: int) -> None:
-    """One directory per split, named by its range."""
-    split_ranges(df, order, rows).drop("row_no").write.partitionBy("split_start", "split_end").mode(
-        "overwrite"
-    ).json(path)
+    """One directory with one file per split, named by its range."""
+    cut = split_ranges(df, order, rows).drop("row_no").repartition("split_start")
+    cut.write.partitionBy("split_start", "split_end").mode("overwrite").json(path)
 
 
 def path_slug(c: Column) -> Column:
@@ -120,17 +122,60 @@ def write_runs(df: DataFrame, path: str) -> None:
     ).write.partitionBy("run_model", "run_dataset", "run_temperature", "run_seed").mode("append").parquet(path)
 
 
-def materialized(df_of, spark: SparkSession, home: str, *key: object) -> DataFrame:
-    """Parquet kept under a name made of everything it depends on; built when it is not complete.
+def piece_digests(rows: DataFrame, by: str, pieces: int) -> DataFrame:
+    """(piece, digest): rows fall into pieces by a hash of ``by``; the digest follows the multiset of a piece's rows.
 
-    ``df_of`` builds the table. A table without its success mark is built again.
+    Two sums of row hashes and a count do not depend on the order, and copies count.
     """
-    digest = hashlib.sha256(repr(key).encode()).hexdigest()[:16]
-    path = f"{home.rstrip('/')}/{str(key[0]).replace('/', '--')}-{digest}-tokenized"
+    plain = [F.col(c) for c in rows.columns]
+    sums = [F.sum(F.xxhash64(F.lit(i), *plain, *[c.isNull() for c in plain]).cast("decimal(38,0)")) for i in (0, 1)]
+    held = rows.groupBy(_piece(by, pieces).alias("piece")).agg(F.count(F.lit(1)).alias("n"), *[s.alias(f"s{i}") for i, s in enumerate(sums)])
+    return held.select("piece", F.md5(F.concat_ws("|", "n", "s0", "s1")).alias("digest"))
+
+
+def _piece(by: str, pieces: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(by)), F.lit(pieces)).cast("int")
+
+
+def kept_pieces(
+    rows: DataFrame, build: Callable[[DataFrame], DataFrame], home: str, by: str, *key: object, pieces: int = 64
+) -> DataFrame:
+    """``build(rows)`` kept under ``home``; only pieces whose rows have changed are built again.
+
+    ``key`` names everything else the result depends on; ``build`` must treat every row on its
+    own and keep ``by``. A batch of built pieces counts once it stands in the table of contents, so one that
+    was cut short is built again. The driver sees one line per piece, at most ``pieces``.
+    """
+    spark = rows.sparkSession
+    name = hashlib.sha256(repr((*key, by, pieces)).encode()).hexdigest()[:16]
+    path = f"{home.rstrip('/')}/{str(key[0]).replace('/', '--')}-{name}-tokenized"
+    wanted = piece_digests(rows, by, pieces)
+    contents = T.StructType.fromDDL("piece int, digest string, batch string")
     try:
-        spark.read.text(f"{path}/_SUCCESS").schema  # noqa: B018  the path is looked up, no row is read
+        known = spark.read.schema(contents).parquet(f"{path}/contents")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        df_of().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        known = spark.createDataFrame([], contents)
+    newest = known.groupBy("piece", "digest").agg(F.max("batch").alias("batch"))
+    found = {r["piece"]: (r["digest"], r["batch"]) for r in wanted.join(newest, ["piece", "digest"], "left").collect()}
+    stale = sorted(p for p, (_, batch) in found.items() if batch is None)
+    if stale:
+        batch = uuid.uuid4().hex
+        piece = _piece(by, pieces)
+        built = build(rows.filter(piece.isin(stale)) if len(stale) < len(found) else rows)
+        built.withColumn("piece", piece).write.partitionBy("piece").parquet(f"{path}/{batch}")
+        lines = [(p, found[p][0], batch) for p in stale]
+        spark.createDataFrame(lines, contents).coalesce(1).write.mode("append").parquet(f"{path}/contents")
+        found |= {p: (found[p][0], batch) for p in stale}
+        schema = built.schema
+    else:
+        schema = build(rows).schema
+    of: dict[str, list[int]] = {}
+    for p, (_, batch) in found.items():
+        of.setdefault(batch, []).append(p)
+    if not of:
+        return spark.createDataFrame([], schema)
+    full = T.StructType([*schema.fields, T.StructField("piece", T.IntegerType())])
+    parts = [spark.read.schema(full).parquet(f"{path}/{b}").filter(F.col("piece").isin(ps)) for b, ps in sorted(of.items())]
+    return functools.reduce(DataFrame.unionByName, parts).drop("piece")

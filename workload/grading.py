@@ -164,7 +164,7 @@ def _form_responses(spark, sf):
 @query("select resp_id, form, same as correct from {forms} f")
 def grade_forms(spark, sf):
     """Twelve written forms with a right and a wrong variant each."""
-    return grading.grade(_form_responses(spark, sf), mode="math").select("resp_id", "form", "correct")
+    return grading.grade(_form_responses(spark, sf), mode="math", dedup=True).select("resp_id", "form", "correct")
 
 
 def _written(spark, sf, name):
