@@ -77,3 +77,21 @@ def test_fingerprints_equal_a_plain_loop(spark, largest):
         r["doc_id"]: (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"])
         for r in got
     } == expected(rows, band)
+
+
+def test_slot_table_is_no_column_of_the_rows(spark):
+    """The optimizer must put the table of slots into the projection that looks terms up."""
+    sides = spark.createDataFrame(
+        [(1, 1, 5, 1, 2, 2, "x", "a b", "b c")], "k long, h long, n long, times long, nk long, nh long, sha string, t string, u string"
+    )
+    sides = sides.withColumns({"own": imatch.terms(sides["t"]), "other": imatch.terms(sides["u"])}).drop("t", "u")
+    kept = sides.selectExpr("explode(own) as term", "1L as bits")
+    found = imatch.looked_up(sides, kept)
+    plan = found._jdf.queryExecution().optimizedPlan()
+    outputs = [plan.output().mkString(",")]
+    while plan.children().size() == 1:
+        plan = plan.children().head()
+        outputs.append(plan.output().mkString(","))
+    assert not any("slots#" in names for names in outputs)
+    row = found.first()
+    assert len(row["in_own"]) == 2 and len(row["in_other"]) == 1
