@@ -179,3 +179,42 @@ def kept_pieces(
     full = T.StructType([*schema.fields, T.StructField("piece", T.IntegerType())])
     parts = [spark.read.schema(full).parquet(f"{path}/{b}").filter(F.col("piece").isin(ps)) for b, ps in sorted(of.items())]
     return functools.reduce(DataFrame.unionByName, parts).drop("piece")
+
+
+_LEDGER = T.StructType([T.StructField("batch", T.StringType())])
+
+
+def _ledger(spark: SparkSession, path: str) -> set[str]:
+    """Names of the batches that count: one short line each, the only thing the driver reads."""
+    try:
+        return {r["batch"] for r in spark.read.schema(_LEDGER).json(f"{path}/ledger").collect()}
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return set()
+
+
+def _batch_home(path: str, batch: str) -> str:
+    return f"{path}/data/{hashlib.sha256(batch.encode()).hexdigest()[:32]}"
+
+
+def append_once(df: DataFrame, path: str, batch: str) -> bool:
+    """Append ``df`` as the batch of that name; False if it stands there already.
+
+    A batch has a folder of its own and counts once its name is in the ledger. What a killed attempt left behind
+    is not read, and the next attempt replaces it, so repeating an append leaves every row once. Different batches
+    may be written at the same time; one batch has one writer at a time. An empty table is a batch too.
+    """
+    path = path.rstrip("/")
+    if batch in _ledger(df.sparkSession, path):
+        return False
+    df.write.mode("overwrite").parquet(_batch_home(path, batch))
+    df.sparkSession.createDataFrame([(batch,)], _LEDGER).coalesce(1).write.mode("append").json(f"{path}/ledger")
+    return True
+
+
+def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of all batches in the ledger; none if nothing was appended yet."""
+    path = path.rstrip("/")
+    homes = [_batch_home(path, b) for b in sorted(_ledger(spark, path))]
+    return spark.read.schema(schema).parquet(*homes) if homes else spark.createDataFrame([], schema)

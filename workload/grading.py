@@ -11,7 +11,8 @@ from rftspark.functions.normalize import distinct_elements
 from rftspark.functions.values import date_time
 from rftspark.operators import grading
 from rftspark.operators.quotas import difficulty
-from rftspark.runtime import spread
+from rftspark.plans.verdicts import grade_stored
+from rftspark.runtime import scratch_path, spread
 
 from .base import derived, query, table, view
 
@@ -141,6 +142,18 @@ def grade_responses(spark, sf):
     return graded.select("resp_id", "ans", "correct", "match_tier")
 
 
+@query("""
+select resp_id, given as ans, hit as correct,
+  case when finish_reason = 'length' then 'truncated' when hit then 'literal' else 'numeric' end as match_tier
+from {resp} r
+""")
+def grade_from_store(spark, sf):
+    """G1: half of the pool is graded first, its verdicts are read when the whole pool is graded."""
+    home, pool = scratch_path(spark, "verdicts"), _pool(spark, sf)
+    grade_stored(pool.filter("l_partkey % 2 = 0"), home, mode="math")
+    return grade_stored(pool, home, mode="math").select("resp_id", "ans", "correct", "match_tier")
+
+
 @query("select resp_id, hit as correct from {resp} r")
 def grade_in_place(spark, sf):
     """G1 without dedup: one scan, no shuffle."""

@@ -359,6 +359,15 @@ def append_sink(spark, sf):
     return spark.read.parquet(path)
 
 
+@query("select resp_id, agent from {resp} r")
+def append_ledger(spark, sf):
+    """A4: one batch per agent, each appended twice, as after a lost run; every row counts once."""
+    path, df = scratch_path(spark, "ledger"), view(spark, sf, "resp").select("resp_id", "agent")
+    for agent in ("agent0", "agent1", "agent2") * 2:
+        files.append_once(df.filter(F.col("agent") == agent), path, agent)
+    return files.read_batches(spark, path, df.schema)
+
+
 def _run_files(spark, sf):
     """Graded runs as files, one directory per agent."""
     root = scratch_path(spark, "runs")
