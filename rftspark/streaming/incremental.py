@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..operators.grading import grade
 from ..operators.quotas import StopRule, remaining_work, stop_reason
+from ..runtime import pinned
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, kind: str = "json", **options: object) -> DataFrame:
@@ -90,15 +92,15 @@ def stop_stream(
             if rule is not None or max_n_trials > 0:
                 n = next((i for i in range(n) if stops(trials + i, seen)), n)
                 stopped = stopped or n < len(rows)
-            rows = rows.head(n)
-            rows = rows.assign(trial=range(trials + 1, trials + 1 + n), corrects_before=seen)
-            trials, gained = trials + n, gained + int(rows["correct"].fillna(False).astype(bool).sum())
-            return rows[names]
+            kept = {c: rows[c].array[:n] for c in names[:-2]}
+            kept["trial"] = np.arange(trials + 1, trials + 1 + n)
+            kept["corrects_before"] = np.full(n, seen)
+            trials, gained = trials + n, gained + int(rows["correct"].iloc[:n].eq(True).sum())
+            return pd.DataFrame(kept, copy=False)
 
         for pdf in batches:
             if not started:
-                first = pdf.iloc[0]
-                old = counters.get if counters.exists else (int(first["_trials"]), int(first["_corrects"]), False)
+                old = counters.get if counters.exists else (int(pdf["_trials"].iat[0]), int(pdf["_corrects"].iat[0]), False)
                 (trials, seen), started = old[:2], True
                 stopped = bool(old[2]) or stops(trials, seen)
             if stopped:
@@ -174,7 +176,8 @@ def hand_out(
     """After every micro-batch write the work that is left, one directory per batch number."""
 
     def publish(status: DataFrame, batch_id: int) -> None:
-        work = work_batches(queries, status, by, max_n_trials, min_n_corrects, paths_per_batch)
+        # Written first: numbering reads it twice, and each time the stream's state would be worked out anew.
+        work = work_batches(queries, pinned(status), by, max_n_trials, min_n_corrects, paths_per_batch)
         render(work).write.mode("overwrite").parquet(f"{target}/round={batch_id}")
 
     return (

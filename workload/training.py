@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rftspark.operators import packing, quotas, reports, tokens
 from rftspark.plans import training
-from rftspark.runtime import scratch_path
+from rftspark.runtime import pinned, scratch_path
 from rftspark.sources import files
 from rftspark.streaming import incremental
 
@@ -203,14 +203,11 @@ def longest_row(spark, sf):
 # --- streams --------------------------------------------------------------------------
 
 
-def _trial_files(spark, sf, batches=4):
-    """Trials as one file per round of arrivals, in arrival order."""
-    path = scratch_path(spark, "arrivals")
-    rows = view(spark, sf, "trials").withColumn("round", F.floor((F.col("trial_no") - 1) / 16))
-    for i in range(batches):
-        last = F.col("round") == i if i < batches - 1 else F.col("round") >= i
-        files.write_parquet(rows.filter(last).coalesce(1), path, append=True)
-    return path, rows.schema
+def _trial_rounds(spark, sf, batches=4):
+    """Trials by round of arrivals, numbered once; rounds behind the last count to it."""
+    round_no = F.least(F.floor((F.col("trial_no") - 1) / 16), F.lit(batches - 1))
+    rows = pinned(view(spark, sf, "trials").withColumn("round", round_no))
+    return [rows.filter(F.col("round") == i) for i in range(batches)]
 
 
 STREAMED = """
@@ -221,9 +218,26 @@ c as (select *, coalesce(sum(case when correct then 1 else 0 end) over (partitio
 KEPT = STREAMED + ", k as (select query_id, event_id, correct, rk as trial, cast(seen as bigint) as corrects_before from c where rk <= 60 and seen <= 3)"
 
 
-def _kept(spark, sf):
-    path, schema = _trial_files(spark, sf)
-    arrivals = incremental.read_stream(spark, path, schema, "parquet", maxFilesPerTrigger=1)
+def _arriving(spark, sf, build):
+    """Path and schema of what ``build`` makes of a stream of trials, one micro-batch per round.
+
+    The files of a round arrive together, as many as tasks wrote them, and the stream goes on from
+    its checkpoint.
+    """
+    path, out, mark = (scratch_path(spark, n) for n in ("arrivals", "stream", "offsets"))
+    for rows in _trial_rounds(spark, sf):
+        files.write_parquet(rows, path, append=True)
+        df = build(incremental.read_stream(spark, path, rows.schema, "parquet"))
+        incremental.append_sink(df, out, mark).awaitTermination()
+    return out, df.schema
+
+
+def _run_rounds(spark, sf, build):
+    out, schema = _arriving(spark, sf, build)
+    return spark.read.schema(schema).parquet(out)
+
+
+def _stopped(arrivals):
     return incremental.stop_stream(arrivals, ["query_id"], ["event_id"], 60, 3)
 
 
@@ -236,7 +250,7 @@ def _run(spark, df):
 @query(KEPT + "select * from k")
 def stream_stop(spark, sf):
     """K2: stateful stop rule over four micro-batches."""
-    return _run(spark, _kept(spark, sf))
+    return _run_rounds(spark, sf, _stopped)
 
 
 @query("select resp_id, given as ans, hit as correct from {resp} r")
@@ -258,32 +272,35 @@ select query_id, event_id, correct, rk + t0 as trial, cast(seen + c0 as bigint)
 @query(RESUMED)
 def stream_stop_resumed(spark, sf):
     """K2: counters of an earlier run to start from."""
-    path, schema = _trial_files(spark, sf)
-    arrivals = incremental.read_stream(spark, path, schema, "parquet", maxFilesPerTrigger=1)
-    status = view(spark, sf, "trials").select("query_id").distinct().withColumns(
+    status = pinned(view(spark, sf, "trials").select("query_id").distinct()).withColumns(
         {"n_trials": F.col("query_id") % 70, "n_corrects": F.col("query_id") % 5}
     )
-    return _run(spark, incremental.stop_stream(arrivals, ["query_id"], ["event_id"], 60, 3, status=status))
+    return _run_rounds(
+        spark, sf, lambda arrivals: incremental.stop_stream(arrivals, ["query_id"], ["event_id"], 60, 3, status=status)
+    )
 
 
 @query(STREAMED + ", k as (select *, row_number() over (partition by query_id order by batch, event_id) as n from c) "
        "select query_id, event_id, correct, n as trial, cast(seen as bigint) as corrects_before from k where n <= 20 and seen <= 5")
 def stream_own_rule(spark, sf):
     """K2, L1: a rule of one's own in the stream."""
-    path, schema = _trial_files(spark, sf)
-    arrivals = incremental.read_stream(spark, path, schema, "parquet", maxFilesPerTrigger=1)
-    kept = incremental.stop_stream(
-        arrivals, ["query_id"], ["event_id"], 1000, 0, rule=lambda trials, corrects: trials >= 20 or corrects > 5
-    )
-    return _run(spark, kept)
+    def build(arrivals):
+        return incremental.stop_stream(
+            arrivals, ["query_id"], ["event_id"], 1000, 0, rule=lambda trials, corrects: trials >= 20 or corrects > 5
+        )
+
+    return _run_rounds(spark, sf, build)
 
 
 def _kept_stream(spark, sf):
-    """What the stop rule kept, as a stream of its own."""
-    out = scratch_path(spark, "kept")
-    kept = _kept(spark, sf)
-    incremental.append_sink(kept, out, scratch_path(spark, "offsets")).awaitTermination()
-    return incremental.read_stream(spark, out, kept.schema, "parquet", maxFilesPerTrigger=8)
+    """What the stop rule kept, as a stream of its own.
+
+    A round leaves one file per shuffle partition at most. As many files make a micro-batch, so there
+    are no more of them than rounds, however many partitions there are.
+    """
+    out, schema = _arriving(spark, sf, _stopped)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    return incremental.read_stream(spark, out, schema, "parquet", maxFilesPerTrigger=partitions)
 
 
 def _last_round(spark, path):
@@ -311,7 +328,7 @@ select query_id, cast(floor((row_number() over (order by n_trials, query_id) - 1
 """)
 def stream_hand_out(spark, sf):
     """K3, K4: after every micro-batch of kept rows the work that is left; here the last round."""
-    queries = view(spark, sf, "trials").select("query_id").distinct()
+    queries = pinned(view(spark, sf, "trials").select("query_id").distinct())
     out, mark = scratch_path(spark, "work"), scratch_path(spark, "offsets")
     incremental.hand_out(_kept_stream(spark, sf), queries, ["query_id"], 60, 3, out, mark, paths_per_batch=10).awaitTermination()
     return _last_round(spark, out).select("query_id", "batch_no")
