@@ -141,7 +141,9 @@ def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
 
 def keep_latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key: the last in the given order."""
-    newest = F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_row")
-    return df.groupBy(*[F.col(k).alias(f"_g_{k}") for k in keys]).agg(newest).select("_row.*")
+    """One row per key: the last in the given order.
 
+    A rank, not an aggregate of whole rows, so that columns nobody reads later stay out of the shuffle.
+    """
+    newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    return df.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") == 1).drop("_rank")
