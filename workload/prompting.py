@@ -369,12 +369,12 @@ def append_ledger(spark, sf):
 
 
 def _run_files(spark, sf):
-    """Graded runs as files, one directory per agent."""
+    """Graded runs as files, one directory per agent; every task writes its own file."""
     root = scratch_path(spark, "runs")
     df = view(spark, sf, "resp").withColumnRenamed("hit", "correct")
     rows = df.select("dataset", "query", "ref_ans", "resp", "agent", "correct", F.col("resp_id").alias("id"))
     for agent in ("agent0", "agent1", "agent2"):
-        files.write_jsonl(rows.filter(F.col("agent") == agent).coalesce(1), f"{root}/{agent}")
+        files.write_jsonl(rows.filter(F.col("agent") == agent), f"{root}/{agent}")
     return [f"{root}/{a}" for a in ("agent0", "agent1", "agent2")]
 
 
@@ -388,8 +388,10 @@ def scan_run_files(spark, sf):
 
 @query("select n from (select agent, count(*) as n from {resp} r group by agent) x")
 def rows_per_file(spark, sf):
-    """A5: counts per file."""
-    return files.rows_per_file(files.scan_runs(spark, _run_files(spark, sf), schemas.RESPONSE)).select("n")
+    """A5: counts per file, added up per run directory."""
+    per_file = files.rows_per_file(files.scan_runs(spark, _run_files(spark, sf), schemas.RESPONSE))
+    run = F.regexp_extract("file_path", "^(.*)/[^/]*$", 1).alias("run")
+    return per_file.groupBy(run).agg(F.sum("n").alias("n")).select("n")
 
 
 @query("select query, least(count(*), 3) as n from {resp} r where hit group by query")
