@@ -16,11 +16,11 @@ from ..operators.reports import corrects_per_query, count_by, describe_counts, h
 from ..sources.files import read_jsonl, rows_per_file, scan_runs, write_jsonl
 
 
-def grade_path(spark: SparkSession, source: str, target: str, **options: object) -> None:
-    """Grade a response file into a new path; the input is never overwritten."""
+def grade_path(spark: SparkSession, source: str, target: str, compression: str | None = None, **options: object) -> None:
+    """Grade a response file into a new path; the input is never overwritten. Compressed input is read by its suffix."""
     if source.rstrip("/") == target.rstrip("/"):
         raise ValueError("target must differ from source")
-    write_jsonl(grade(read_jsonl(spark, source, schemas.RESPONSE), **options), target)
+    write_jsonl(grade(read_jsonl(spark, source, schemas.RESPONSE), **options), target, compression=compression)
 
 
 @dataclass(frozen=True)

@@ -42,8 +42,12 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
-    df.write.mode("append" if append else "overwrite").json(path)
+def write_jsonl(df: DataFrame, path: str, append: bool = False, compression: str | None = None, max_rows: int = 500_000) -> None:
+    """JSON lines. A compressed file is read by one task, so it holds ``max_rows`` lines at most."""
+    writer = df.write.mode("append" if append else "overwrite")
+    if compression:
+        writer = writer.option("compression", compression).option("maxRecordsPerFile", max_rows)
+    writer.json(path)
 
 
 def write_parquet(df: DataFrame, path: str, append: bool = False) -> None:

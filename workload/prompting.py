@@ -407,8 +407,8 @@ def grade_files(spark, sf):
     """Graded copy of a response file."""
     root, out = scratch_path(spark, "raw"), scratch_path(spark, "graded")
     df = view(spark, sf, "resp")
-    files.write_jsonl(df.select(F.col("resp_id").alias("id"), "dataset", "query", "ref_ans", "resp", "finish_reason"), root)
-    grade_path(spark, root, out, mode="math")
+    files.write_jsonl(df.select(F.col("resp_id").alias("id"), "dataset", "query", "ref_ans", "resp", "finish_reason"), root, compression="lz4")
+    grade_path(spark, root, out, mode="math", compression="lz4")
     return spark.read.schema("id string, correct boolean").json(out)
 
 
