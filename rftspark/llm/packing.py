@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Words and words without marks whose ids a worker remembers, and their longest; others are worked out anew.
 REMEMBERED, CORES, LONGEST = 200_000, 600_000, 48
+#: Texts that a worker holds as words at a time, which bounds its memory.
+TEXTS = 128
 #: Pieces that one task packs; tables of any size are divided into as many shards as needed.
 SHARD = 100_000
 
@@ -139,10 +141,11 @@ def pieces(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for at in range(0, len(texts), 1024):
+            for at in range(0, b.num_rows, TEXTS):
+                some = b.slice(at, TEXTS)
+                texts = [t or "" for t in some.column(1).to_pylist()]
                 cols: list[list] = [[] for _ in names]
-                for k, ids in zip(keys[at : at + 1024], tok.ids(texts[at : at + 1024]), strict=True):
+                for k, ids in zip(some.column(0).to_pylist(), tok.ids(texts), strict=True):
                     ids = ids.tobytes() + end
                     for i, begin in enumerate(range(0, len(ids), 4 * cap)):
                         part = ids[begin : begin + 4 * cap]
