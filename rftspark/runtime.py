@@ -62,11 +62,13 @@ def pinned(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give rows of a few files to all cores before expensive work.
+def spread(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """Give rows of a table of few files to all cores before expensive work, at most ``rows`` to a task.
 
-    Tables of as many files as cores, so all large ones, stay as they are. Looks at the
-    plan's files only; nothing runs.
+    For tables as they are read: only their rows are counted, which Parquet footers tell, and only the
+    columns that a job goes on to use are moved. Tables of as many files as cores stay as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    if len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(max(cores, -(-df.count() // rows)))

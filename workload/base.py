@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rftspark.runtime import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -219,18 +221,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def derived(spark: SparkSession, sf: str, text: str) -> DataFrame:
-    """Rows of a SQL text over ``{table}`` names."""
+def derived(spark: SparkSession, sf: str, text: str, wide: str = "") -> DataFrame:
+    """Rows of a SQL text over ``{table}`` names; rows of the table ``wide`` are spread before its texts are made."""
     for t in TABLES:
         if "{" + t + "}" in text:
-            table(spark, sf, t).createOrReplaceTempView(f"_{t}")
+            rows = table(spark, sf, t)
+            (spread(rows) if t == wide else rows).createOrReplaceTempView(f"_{t}")
             text = text.replace("{" + t + "}", f"_{t}")
     return spark.sql(text)
 
 
-def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def view(spark: SparkSession, sf: str, name: str, wide: str = "") -> DataFrame:
     """A derived view as a DataFrame."""
-    return derived(spark, sf, VIEWS[name])
+    return derived(spark, sf, VIEWS[name], wide)
 
 
 def expand(sql: str) -> str:
