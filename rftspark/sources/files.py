@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 
 from ..operators.ranking import dense_index
 
+#: Each split is a directory and a file of its own; this many of them are one task's work.
+SPLITS_PER_TASK = 256
+
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: T.StructType, **options: object) -> DataFrame:
     """JSON lines with a given schema; a map column ``extras`` collects all other fields."""
@@ -77,14 +80,24 @@ def rows_per_file(scan: DataFrame) -> DataFrame:
 def split_ranges(df: DataFrame, order: list[str], rows: int) -> DataFrame:
     """Number the rows and cut them into splits: ``split_start``, ``split_end`` (exclusive)."""
     numbered = dense_index(df, order, "row_no")
-    total = df.agg(F.count(F.lit(1))).scalar()
+    return _cut(numbered, rows, numbered.count())
+
+
+def _cut(numbered: DataFrame, rows: int, total: int) -> DataFrame:
     start = F.floor(F.col("row_no") / rows) * rows
-    return numbered.withColumns({"split_start": start, "split_end": F.least(start + rows, total)})
+    return numbered.withColumns({"split_start": start, "split_end": F.least(start + rows, F.lit(total).cast("long"))})
 
 
 def write_splits(df: DataFrame, path: str, order: list[str], rows: int) -> None:
-    """One directory with one file per split, named by its range."""
-    cut = split_ranges(df, order, rows).drop("row_no").repartition("split_start")
+    """One directory with one file per split, named by its range.
+
+    The rows are counted where they are numbered, not by working ``df`` out once more. A task's time goes with the
+    files it makes, not with its bytes, so the number of tasks follows the number of splits.
+    """
+    numbered = dense_index(df, order, "row_no")
+    total = numbered.count()
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // (rows * SPLITS_PER_TASK)))
+    cut = _cut(numbered, rows, total).drop("row_no").repartition(tasks, "split_start")
     cut.write.partitionBy("split_start", "split_end").mode("overwrite").json(path)
 
 

@@ -39,6 +39,24 @@ def test_every_split_is_one_file(spark):
     assert got == [(s, min(s + 100, 1050), 1, min(100, 1050 - s), s) for s in range(0, 1050, 100)]
 
 
+def test_tasks_that_write_splits_follow_their_number(spark, monkeypatch):
+    monkeypatch.setattr(files, "SPLITS_PER_TASK", 10, raising=False)
+    path = scratch_path(spark, "splits")
+    files.write_splits(spark.range(1050).repartition(6), path, ["id"], 5)
+    task = F.regexp_extract(F.input_file_name(), r"/part-(\d+)-", 1)
+    back = spark.read.json(path).withColumn("task", task)
+    per = back.groupBy("task").agg(F.countDistinct("split_start").alias("n")).collect()
+    # 210 splits of a few rows each: by their bytes they would all be one task's.
+    assert sum(r["n"] for r in per) == 210 and len(per) > 16
+
+
+def test_splits_are_counted_where_they_are_numbered(spark):
+    cut = files.split_ranges(spark.range(1050).repartition(6), ["id"], 100)
+    assert "Range" not in cut._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["split_start"], r["split_end"]) for r in cut.collect()} == {(s, min(s + 100, 1050)) for s in range(0, 1050, 100)}
+    assert files.split_ranges(spark.range(0), ["id"], 100).count() == 0
+
+
 def test_states_composed_over_several_levels_equal_one_pass(spark, monkeypatch):
     monkeypatch.setattr(packing, "STRETCHES_PER_BLOCK", 2)
     random.seed(5)
