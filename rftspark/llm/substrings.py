@@ -60,15 +60,44 @@ def first_smallest(h: np.ndarray, span: int) -> np.ndarray:
     return at
 
 
+WHITE = np.zeros(256, bool)
+WHITE[list(b" \t\n\r\x0b\x0c")] = True
+#: Words of more bytes are hashed one by one; the others side by side, eight bytes at a time.
+LONG_WORD = 64
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+
+
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes from each begin to its end; eight bytes and more must stand behind the last."""
+    size = end - begin
+    eights = np.lib.stride_tricks.as_strided(data, (max(0, len(data) - 7), 8), (1, 1))
+    h, left = size.astype(U), np.flatnonzero(size <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        left = left[size[left] > at]
+        if not len(left):
+            break
+        eight = eights[begin[left] + at].view("<u8")[:, 0] & FIRST_BYTES[np.minimum(size[left] - at, 8)]
+        h[left] = mixed(h[left], eight, at % 16 // 8)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[begin[i] : end[i]].tobytes())
+    return h
+
+
 class Windows:
     """Windows of a chunk: their anchors, and full hashes of those that may repeat."""
 
     def __init__(self, texts: list[bytes], window: int, n_buckets: int):
-        self.window, self.words = window, [t.split() for t in texts]
-        self.n_words = np.array([len(w) for w in self.words], np.int64)
-        self.ends = np.cumsum(self.n_words)
-        flat = xxhash.xxh3_64_intdigest
-        self.h = np.fromiter((flat(w) for ws in self.words for w in ws), U, count=int(self.ends[-1]) if len(texts) else 0)
+        self.window = window
+        # White space behind every text, so that no word reaches into the next.
+        self.data = np.frombuffer(b"\n".join([*texts, b" " * 8]), np.uint8)
+        self.doc_end = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+        white = WHITE[self.data]
+        edge = np.flatnonzero(white[1:] != white[:-1]) + 1
+        edge = edge if white[0] else np.r_[0, edge]
+        self.begin, self.end = edge[::2], edge[1::2]
+        self.ends = np.searchsorted(self.begin, self.doc_end)
+        self.n_words = np.diff(self.ends, prepend=0)
+        self.h = word_hashes(self.data, self.begin, self.end)
         base, total = max(1, window // 2), len(self.h)
         self.halves = doubled(self.h, base) if total >= base else np.array([], U)
         n = max(0, total - window + 1)
@@ -79,7 +108,9 @@ class Windows:
         np.add.at(ok, (self.ends - window + 1)[long], -1)
         self.start = np.flatnonzero(np.cumsum(ok[:n]) > 0)
         at = first_smallest(self.halves, window - base + 1)[self.start] if n else np.array([], int)
-        self.anchor_at, self.anchor_of = np.unique(at, return_inverse=True)
+        named = np.zeros(len(self.halves), bool)
+        named[at] = True
+        self.anchor_at, self.anchor_of = np.flatnonzero(named), (np.cumsum(named) - 1)[at]
         keys = mixed(self.halves[self.anchor_at], self.halves[self.anchor_at])
         self.keys, self.key_of, counts = np.unique(keys, return_inverse=True, return_counts=True)
         self.again = counts > 1
@@ -90,8 +121,9 @@ class Windows:
         self.live = self.start[(repeated | self.again)[self.key_of[self.anchor_of]]]
         whole = [doubled(self.h, self.window, lane) for lane in (0, 1)] if len(self.live) else [np.array([], U)] * 2
         full = whole[0][self.live]
-        _, first, self.same = np.unique(full, return_index=True, return_inverse=True)
-        self.first = np.sort(first)
+        order = np.argsort(full)
+        begin = np.flatnonzero(np.r_[True, np.diff(full[order]) != 0]) if len(full) else order
+        self.first = np.sort(np.minimum.reduceat(order, begin))
         self.full, self.check = full[self.first], (whole[1][self.live[self.first]] >> U(32)).astype(np.uint32)
         self.full_bucket = R.bucket_of(self.full, n_buckets)
         self.is_first = np.zeros(len(self.live), bool)
@@ -107,13 +139,37 @@ class Windows:
         np.add.at(edges, at + self.window, -1)
         return np.cumsum(edges[:-1]) > 0
 
+    def left(self, gone: np.ndarray, rewritten: np.ndarray) -> pa.Array:
+        """The texts; of those to be rewritten the words that are not ``gone``, joined by one space."""
+        data, mark = self.data.copy(), np.zeros(len(self.data) + 1, np.int8)
+        doc = np.repeat(np.arange(len(self.ends)), self.n_words)
+        kept = np.flatnonzero(~gone & rewritten[doc])
+        # A word and what stands behind it, unless it is the text's last.
+        follows = np.r_[doc[kept[1:]] == doc[kept[:-1]], np.zeros(min(1, len(kept)), bool)]
+        data[self.end[kept]] = 32
+        mark[self.begin[kept]] += 1
+        mark[self.end[kept] + follows] -= 1
+        begin, whole = np.r_[0, self.doc_end[:-1]], ~rewritten
+        np.add.at(mark, begin[whole], 1)
+        np.add.at(mark, self.doc_end[whole] - 1, -1)
+        here = np.cumsum(mark[:-1], dtype=np.int8) > 0
+        size = np.r_[0, np.cumsum(here)]
+        ends = np.r_[0, size[self.doc_end]]
+        return pa.LargeStringArray.from_buffers(
+            len(self.doc_end), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[here])
+        ).cast(pa.string())
+
 
 def _seen_twice(data: list[bytes]) -> list[np.ndarray]:
-    """Anchors in the lists of two chunks or more."""
+    """Anchors in the lists of two chunks or more. One sort of all lists, however many there are."""
     keys = [np.frombuffer(d, U) for d in data]
-    every = np.sort(np.concatenate(keys))
-    twice = every[1:][every[1:] == every[:-1]]
-    return [np.isin(k, twice) for k in keys]
+    every = np.concatenate(keys)
+    order = np.argsort(every)
+    every = every[order]
+    same = np.r_[False, every[1:] == every[:-1], False]
+    twice = np.empty(len(order), bool)
+    twice[order] = same[1:] | same[:-1]
+    return np.split(twice, np.cumsum([len(k) for k in keys])[:-1])
 
 
 def _anchors_once(data: list[bytes]) -> bytes:
@@ -133,7 +189,9 @@ def _pack(w: Windows, chunk: pa.Table) -> Callable[[np.ndarray], bytes]:
     ids, ties = np.asarray(chunk["k"].fill_null(R.LAST)), np.asarray(chunk["tie"])
 
     def pack(at: np.ndarray) -> bytes:
-        docs, counts = np.unique(w.doc[at], return_counts=True)
+        doc = w.doc[at]
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        docs, counts = doc[first], np.diff(first, append=len(doc))
         head = np.array([len(docs), len(at)], np.int64)
         parts = (head, ids[docs], ties[docs], counts.astype(np.int64), w.full[at], w.check[at])
         return b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
@@ -141,9 +199,32 @@ def _pack(w: Windows, chunk: pa.Table) -> Callable[[np.ndarray], bytes]:
     return pack
 
 
-def _sorted(data: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, list[int]]:
-    """Columns (ties, ids, check, full) of all lists, their order by windows and earliest
-    first, which of the ordered ones repeat the one before, and the sizes of the lists."""
+def _firsts(every: list[np.ndarray]) -> np.ndarray:
+    """Of equal windows the earliest, in the order of the windows; columns (ties, ids, check, full)."""
+    ties, ids, check, full = every
+    order = np.argsort(full)
+    f = full[order]
+    begin = np.flatnonzero(np.r_[True, f[1:] != f[:-1]]) if len(f) else np.array([], int)
+    if (np.diff(begin, append=len(f)) == 1).all():
+        return order
+    c = check[order]
+    if (np.minimum.reduceat(c, begin) != np.maximum.reduceat(c, begin)).any():
+        order = np.lexsort(every)
+        f, c = full[order], check[order]
+        return order[np.r_[True, (f[1:] != f[:-1]) | (c[1:] != c[:-1])]]
+    # The smallest id of a group, then the smallest tie among those, then the first place.
+    group = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(f)))
+    least = np.ones(len(f), bool)
+    for column, none in ((ids[order], R.LAST), (ties[order], R.LAST), (order, len(f))):
+        rest = np.where(least, column, none)
+        smallest = np.minimum.reduceat(rest, begin)
+        least &= rest == smallest[group]
+    return smallest
+
+
+def _sorted(data: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, list[int]]:
+    """Columns (ties, ids, check, full) of all lists, the earliest of equal windows in the
+    order of the windows, and the sizes of the lists."""
     cols, sizes = [[], [], [], []], []
     for d in data:
         docs, n = np.frombuffer(d, np.int64, 2)
@@ -154,34 +235,29 @@ def _sorted(data: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray
             c.append(x)
         sizes.append(n)
     every = [np.concatenate(c) for c in cols]
-    order = np.lexsort(every)
-    f, c = every[3][order], every[2][order]
-    again = np.zeros(len(f), bool)
-    again[1:] = (f[1:] == f[:-1]) & (c[1:] == c[:-1])
-    return every, order, again, sizes
+    return every, _firsts(every), sizes
 
 
 def _not_earliest(data: list[bytes]) -> list[np.ndarray]:
     """Windows whose words start earlier in another chunk."""
-    _, order, again, sizes = _sorted(data)
-    later = np.zeros(len(order), bool)
-    later[order] = again
+    every, first, sizes = _sorted(data)
+    later = np.ones(len(every[0]), bool)
+    later[first] = False
     return np.split(later, np.cumsum(sizes)[:-1])
 
 
 def _earliest(data: list[bytes]) -> bytes:
     """The earliest of equal windows of some chunks, each as of a document of its own."""
-    every, order, again, _ = _sorted(data)
-    ties, ids, check, full = (c[order[~again]] for c in every)
+    every, first, _ = _sorted(data)
+    ties, ids, check, full = (c[first] for c in every)
     head = np.array([len(ids), len(ids)], np.int64)
     return b"".join(x.tobytes() for x in (head, ids, ties, np.ones(len(ids), np.int64), full, check))
 
 
 def _earliest_spread(data: list[bytes], bits: np.ndarray) -> list[np.ndarray]:
     """Windows that are not the earliest of these chunks, or of all."""
-    _, order, again, sizes = _sorted(data)
-    later = np.ones(len(order), bool)
-    first = order[~again]
+    every, first, sizes = _sorted(data)
+    later = np.ones(len(every[0]), bool)
     later[first] = bits[: len(first)]
     return np.split(later, np.cumsum(sizes)[:-1])
 
@@ -223,17 +299,12 @@ def remove_repeats(
     def kept(chunk: pa.Table, back: R.Answers) -> pa.Table:
         w = extended(chunk, back)
         gone = w.covered(back.of(1, w.full_bucket))
-        texts, lost, whole = [], [], chunk["t"].to_pylist()
-        for i, (words, end) in enumerate(zip(w.words, w.ends.tolist(), strict=True)):
-            out = gone[end - len(words) : end]
-            n = int(np.count_nonzero(out))
-            if n:
-                words = [words[j] for j in np.flatnonzero(~out)]
-            texts.append(b" ".join(words).decode() if n or joined else whole[i] or "")
-            lost.append(n)
+        n_gone = np.r_[0, np.cumsum(gone)]
+        lost = n_gone[w.ends] - n_gone[w.ends - w.n_words]
+        texts = w.left(gone, np.full(len(lost), True) if joined else lost > 0)
         return pa.table(
             {
-                "k": chunk["k"], "t": pa.array(texts, pa.string()), "rest": chunk["rest"],
+                "k": chunk["k"], "t": texts, "rest": chunk["rest"],
                 "n_words": pa.array(w.n_words, pa.int64()), "n_removed": pa.array(lost, pa.int64()),
             }
         )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -52,6 +53,54 @@ def result(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
 
 
+def test_judges_of_windows_do_not_grow_with_chunks():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 1 << 63, 400_000).astype(np.uint64)
+    lists = [np.unique(rng.choice(pool, 400)) for _ in range(1_000)]
+    began = time.perf_counter()
+    got = substrings._seen_twice([x.tobytes() for x in lists])
+    # A search of every list in all repeated anchors took over 10 s.
+    assert time.perf_counter() - began < 4
+    keys, times = np.unique(np.concatenate(lists), return_counts=True)
+    assert all((g == (times[np.searchsorted(keys, x)] > 1)).all() for g, x in zip(got, lists, strict=True))
+
+
+def test_earliest_of_equal_windows():
+    rnd = random.Random(6)
+    def packed(rows):
+        head = np.array([len(rows), len(rows)], np.int64)
+        ids, ties, full, check = zip(*rows, strict=True)
+        one = np.ones(len(rows), np.int64)
+        return b"".join(np.array(x, t).tobytes() for x, t in ((head, "i8"), (ids, "i8"), (ties, "i8"), (one, "i8"), (full, "u8"), (check, "u4")))
+
+    # With one check per hash, with several, and with ids and ties at the end of their range.
+    for checks in (1, 2):
+        last = np.iinfo(np.int64).max
+        lists = [[(rnd.choice([1, 2, last]), rnd.choice([-3, 5, last]), h, h % 7 + rnd.randrange(checks)) for h in rnd.sample(range(40), 15)] for _ in range(9)]
+        every = [r for x in lists for r in x]
+        best = {}
+        for at, (i, t, h, c) in enumerate(every):
+            best[h, c] = min(best.get((h, c), (last, last, len(every))), (i, t, at))
+        want = [best[h, c][2] != at for at, (i, t, h, c) in enumerate(every)]
+        assert np.concatenate(substrings._not_earliest([packed(x) for x in lists])).tolist() == want
+
+
+def test_words_and_what_is_left_of_them():
+    rnd = random.Random(7)
+    texts = [b"", b" ", b"a", b" a\x00 a ", b"x" * 200 + b" " + b"x" * 200 + b"y", b"\x1c a\x85b", "日本語 テスト".encode()]
+    texts += [bytes(rnd.choice(b" \t\n\x0b\x0c\rab\x00\x1f") for _ in range(rnd.randint(0, 90))) for _ in range(60)]
+    w = substrings.Windows(texts, 20, 3)
+    split = [t.split() for t in texts]
+    words = [x for ws in split for x in ws]
+    assert w.n_words.tolist() == [len(x) for x in split] and len(set(w.h.tolist())) == len(set(words))
+    assert all(len({h for x, h in zip(words, w.h.tolist(), strict=True) if x == y}) == 1 for y in set(words))
+    gone, anew, at = np.array([rnd.random() < 0.4 for _ in words]), np.array([rnd.random() < 0.7 for _ in texts]), 0
+    for ws, text, new, got in zip(split, texts, anew, w.left(gone, anew).cast("binary").to_pylist(), strict=True):
+        kept = [x for x, g in zip(ws, gone[at : at + len(ws)], strict=True) if not g]
+        assert got == (b" ".join(kept) if new else text)
+        at += len(ws)
+
+
 @pytest.mark.parametrize("together", [None, 1, 3])
 def test_substrings(docs, empty, together):
     seen, want = set(), []
