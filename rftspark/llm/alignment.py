@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import io
 import itertools
 import operator
 import re
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import pinned
+from ..runtime import pinned, setting
 
 #: Characters of text in a chunk, and in a part of it that is cut into units at a time; a longer text is one of its own.
 CHUNK, PART = 3 << 20, 1 << 20
@@ -248,22 +249,54 @@ class Aligner:
         }
 
 
-@functools.lru_cache(maxsize=1)
-def aligner(path_a: str, path_b: str) -> Aligner:
-    return Aligner(path_a, path_b)
-
-
 LISTS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
 COLUMNS = {
     "keys": "long", **dict.fromkeys(STATS, "long"), "groups": "string", "sha": "string", "n_units": "int",
-    "units": "int", "unit_pairs": "int", "flat": "int", "pairs": "long", "times": "long",
+    "units": "int", "unit_pairs": "int", "flat": "int",
 }
-KINDS = {"chunk": pa.string()} | {n: pa.list_(LISTS[kind]) for n, kind in COLUMNS.items()}
-ROW = "chunk string, " + ", ".join(f"{n} array<{kind}>" for n, kind in COLUMNS.items())
+ROW = "chunk string, piece int, data binary, pairs array<long>, times array<long>"
+KINDS = [pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+NAMES = ["chunk", "piece", "data", "pairs", "times"]
+#: Bytes of a piece of a chunk, pairs in a row and rows sent at once: a chunk as one row would be megabytes in the JVM.
+PIECE, PAIRS, AT_ONCE = 1 << 17, 1 << 13, 8
+#: Documents that a worker gets at a time, and how the pieces are written.
+DOCS = 256
+WRITER = {
+    "parquet.block.size": 8 << 20, "parquet.enable.dictionary": "false",
+    "parquet.page.size.row.check.min": 4, "parquet.block.size.row.check.min": 8,
+}
+
+
+def pieces(done: dict) -> Iterator[pa.RecordBatch]:
+    """A chunk as rows ROW: its columns in compressed pieces, then its distinct pairs."""
+    columns = [pa.array([done[n]], pa.list_(LISTS[kind])) for n, kind in COLUMNS.items()]
+    sink = io.BytesIO()
+    batch = pa.RecordBatch.from_arrays(columns, list(COLUMNS))
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    data, pairs, times = sink.getvalue(), done["pairs"], done["times"]
+    rows = [(i, data[at : at + PIECE], None, None) for i, at in enumerate(range(0, len(data), PIECE))]
+    rows += [(None, None, pairs[at : at + PAIRS], times[at : at + PAIRS]) for at in range(0, len(pairs), PAIRS)]
+    for some in (rows[at : at + AT_ONCE] for at in range(0, len(rows), AT_ONCE)):
+        values = [[done["chunk"]] * len(some), *zip(*some, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(values, KINDS, strict=True)], NAMES)
+
+
+def joined(rows: pa.Table) -> dict[str, pa.Array]:
+    """Columns of the chunk whose pieces are given, in any order."""
+    at = np.argsort(rows["piece"].to_numpy())
+    data = rows["data"].combine_chunks()
+    held = pa.ipc.open_stream(b"".join(data[i].as_py() for i in at.tolist())).read_next_batch()
+    return {n: held.column(i).flatten() for i, n in enumerate(COLUMNS)}
+
+
+@functools.lru_cache(maxsize=1)
+def aligner(path_a: str, path_b: str) -> Aligner:
+    return Aligner(path_a, path_b)
 
 
 def chunks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str, with_groups: bool) -> DataFrame:
-    """One row a chunk, with its documents, units and distinct pairs."""
+    """Rows ROW of all chunks, with their documents, units and distinct pairs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = aligner(path_a, path_b)
@@ -271,21 +304,17 @@ def chunks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str
         texts: list = []
         size = 0
 
-        def row() -> pa.RecordBatch:
-            done = tool.chunk(keys, texts, with_groups)
-            return pa.RecordBatch.from_arrays([pa.array([done[n]], kind) for n, kind in KINDS.items()], list(KINDS))
-
         # A few rows at a time, so that a batch does not stand in memory twice.
-        for b in (b.slice(i, 256) for b in batches for i in range(0, len(b), 256)):
+        for b in (b.slice(i, DOCS) for b in batches for i in range(0, len(b), DOCS)):
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 keys.append(k)
                 texts.append(t)
                 size += len(t or "")
                 if size >= CHUNK:
-                    yield row()
+                    yield from pieces(tool.chunk(keys, texts, with_groups))
                     keys, texts, size = [], [], 0
         if keys:
-            yield row()
+            yield from pieces(tool.chunk(keys, texts, with_groups))
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
     return rows.mapInArrow(work, ROW)
@@ -322,17 +351,16 @@ def aligned(
     row and each count. Other columns are left out, so their names cannot clash. An empty table
     gives an empty table. ``with_groups=False`` leaves the groups null and keeps their digest.
     """
-    parts = pinned(chunks(docs, path_a, path_b, id_col, text_col, with_groups))
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", DOCS):
+        parts = pinned(chunks(docs, path_a, path_b, id_col, text_col, with_groups), **WRITER)
     asked = parts.select(F.col("chunk").alias("asker"), F.explode("pairs").alias("pair"))
     answers = asked.join(pair_counts(parts), "pair").select("asker", "pair", "n", "best")
     names = ["keys", *STATS, "n_best", "count_sum", "groups", "sha"]
     out = "keys long, " + ", ".join(f"{s} long" for s in [*STATS, "n_best", "count_sum"]) + ", groups string, sha string"
 
-    def summed(held: pa.Table, answer: pa.Table) -> pa.Table:
-        def flat(name: str) -> np.ndarray:
-            return held[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-
-        of, n_pairs, unit, sizes = flat("flat"), flat("unit_pairs"), flat("units"), flat("n_units")
+    def summed(rows: pa.Table, answer: pa.Table) -> pa.Table:
+        held = joined(rows)
+        of, n_pairs, unit, sizes = (held[n].to_numpy(zero_copy_only=False) for n in ("flat", "unit_pairs", "units", "n_units"))
         order = np.argsort(answer["pair"].to_numpy())
         cols = []
         for values in (answer["best"].to_numpy(), answer["n"].to_numpy()):
@@ -343,10 +371,11 @@ def aligned(
             stop = np.cumsum(sizes)
             cols.append(pa.array(along[stop] - along[stop - sizes]))
         n_best, count_sum = cols
-        taken = {n: held[n].combine_chunks().flatten() for n in ["keys", *STATS, "groups", "sha"]}
+        taken = {n: held[n] for n in ["keys", *STATS, "groups", "sha"]}
         taken |= {"n_best": n_best, "count_sum": count_sum}
         return pa.table([taken[n] for n in names], names)
 
-    done = parts.groupBy("chunk").cogroup(answers.groupBy("asker")).applyInArrow(summed, out)
+    held = parts.filter(F.col("data").isNotNull()).select("chunk", "piece", "data")
+    done = held.groupBy("chunk").cogroup(answers.groupBy("asker")).applyInArrow(summed, out)
     kept = done.withColumnsRenamed({"keys": id_col, "sha": "groups_sha256"})
     return kept if with_groups else kept.drop("groups")

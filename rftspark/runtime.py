@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,18 +52,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/rftspark/{name}-{uuid.uuid4().hex}"
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def pinned(df: DataFrame, **options: object) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; ``options`` are the writer's.
 
     Used where a later stage must see exactly the rows and partition numbers of an
     earlier one, also after executors were lost: the files outlive them.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "pinned")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: object) -> Iterator[None]:
+    """A session setting for the jobs that run inside the block."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def spread(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """Give rows of a table of few files to all cores before expensive work, at most ``rows`` to a task.
 

@@ -104,6 +104,27 @@ def test_alignment(spark, text_rows, monkeypatch, chunk, remembered):
     assert alignment.aligned(df.limit(0), a, b, with_groups=False).count() == 0
 
 
+def test_chunks_travel_in_small_pieces(spark, monkeypatch):
+    rnd = random.Random(8)
+    text = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) for _ in range(400))
+    rows = [(i, text()) for i in range(300)]
+    a, b = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+    # As one row this chunk took over a megabyte.
+    sent = alignment.chunks(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), a, b, "doc_id", "text", False)
+    size = "coalesce(octet_length(data), 0) + 16 * coalesce(size(pairs), 0)"
+    found = sent.selectExpr("chunk", f"{size} as n").groupBy("chunk").agg({"n": "max", "chunk": "count"}).collect()
+    assert len(found) == 1 and found[0]["count(chunk)"] > 3 and found[0]["max(n)"] <= 1 << 17
+
+    monkeypatch.setattr(alignment, "PIECE", 100)
+    monkeypatch.setattr(alignment, "PAIRS", 7)
+    done = alignment.Aligner(a, b).chunk(*map(list, zip(*rows[:5], (9, None), (10, ""), strict=True)), True)
+    made = alignment.pa.Table.from_batches(list(alignment.pieces(done)))
+    held = alignment.joined(made.filter(made["data"].is_valid()).take(list(range(20))[::-1] + list(range(20, made["data"].is_valid().to_pylist().count(True)))))
+    assert all(held[n].to_pylist() == list(done[n]) for n in alignment.COLUMNS)
+    for n in ("pairs", "times"):
+        assert [x for r in made[n].to_pylist() for x in r or []] == list(done[n])
+
+
 # --- conversations ------------------------------------------------------------------------------
 
 WHITE = " \t\n\x0b\x0c\r"
