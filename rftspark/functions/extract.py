@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 
 from . import fixed
 from . import sqltext as F
@@ -9,6 +11,16 @@ from .sqltext import Sql, let
 from .text import after_last, lstrip, rstrip, strip, until_closing_brace, without_ends
 
 
+def beyond(chars: str) -> str:
+    """Pattern of one character that is none of these ASCII ones. Ranges in a class take the JVM some twenty times as long."""
+    return "[^" + "".join(f"\\x{ord(ch):02x}" for ch in chars) + "]"
+
+
+NO_LETTER = "".join(chr(i) for i in range(128) if not chr(i).isalpha())
+#: A letter, or any character beyond ASCII. Stages on words leave a text without one alone.
+LETTER = beyond(NO_LETTER)
+
+
 def clean_trailing(c: Sql) -> Sql:
     """Strip, then drop meaningless characters and blanks from the end."""
     return rstrip(lstrip(c), fixed.TRAILING_CHARS)
@@ -50,10 +62,15 @@ def boxed_lenient(c: Sql) -> Sql:
 
 def truth_word(c: Sql) -> Sql:
     """``True`` / ``False`` for text holding such a word, else NULL; commands that hold one do not count."""
-    return let(
-        F.regexp_replace(strip(F.lower(c)), r"noindent|\\[dt]?binom", ""),
-        lambda s: F.when(s.rlike("yes|true"), F.lit("True")).when(s.rlike("no|false"), F.lit("False")),
-    )
+    def word(s: Sql) -> Sql:
+        has = lambda *words: functools.reduce(operator.or_, (F.contains(s, F.lit(w)) for w in words))
+        return F.when(has("yes", "true"), F.lit("True")).when(has("no", "false"), F.lit("False"))
+
+    def plain(s: Sql) -> Sql:
+        commands = F.contains(s, F.lit("noindent")) | F.contains(s, F.lit("binom"))
+        return F.when(commands, F.regexp_replace(s, r"noindent|\\[dt]?binom", "")).otherwise(s)
+
+    return let(c, lambda s: F.when(s.rlike(LETTER), let(let(strip(F.lower(s)), plain), word)))
 
 
 def _before_cue(c: Sql, cue: str) -> Sql:

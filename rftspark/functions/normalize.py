@@ -6,18 +6,32 @@ Plain integers skip them all: no stage changes one.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
 from . import fixed
 from . import sqltext as F
-from .extract import clean, truth_word
+from .extract import LETTER, NO_LETTER, beyond, clean, truth_word
 from .sqltext import Sql, let
 from .text import replace_each, strip, without_ends
 
 PLAIN_INTEGER = r"^-?[1-9][0-9]{0,17}$"
 ARRAY_START = "\\begin{array}"
+#: A character that the literal replacements could concern, and one that a function, zero or unit could.
+REPLACEABLE = beyond(r"0123456789()[]{}+-*/=<>|!&@#_^ ")
+LETTER_OR_POINT = beyond(NO_LETTER.replace(".", ""))
+#: Last character of a text with a unit; the end of a pattern may stand before a line end.
+UNIT_END = beyond("".join(ch for ch in NO_LETTER if ch not in ".\r\n"))
+#: A style command or an environment; every one begins with a backslash.
+STYLED = r"\\(?:" + "|".join(
+    re.escape(x[1:]) for x in (*fixed.STYLE_COMMANDS, *(f"\\{edge}{{{env}}}" for env in fixed.ENVIRONMENTS for edge in ("begin", "end")))
+) + ")"
 
 _FN = fixed.FUNCTION_NAMES
+_FIRST = "".join(sorted({name[0] for name in _FN.split("|")}))
+
+
 def _has(c: Sql, text: str) -> Sql:
     return F.contains(c, F.lit(text))
 
@@ -114,7 +128,7 @@ def weekday(c: Sql) -> Sql:
             chain = chain.when(F.startswith(word, day[:3].lower()), day)
         return chain
 
-    return let(strip(F.lower(c)), named)
+    return F.when(c.rlike(LETTER), let(strip(F.lower(c)), named))
 
 
 def _drop_style(c: Sql, command: Sql) -> Sql:
@@ -180,31 +194,36 @@ def _first_group(c: Sql) -> Sql:
 def drop_styles(c: Sql) -> Sql:
     commands = F.array(*[F.lit(x) for x in fixed.STYLE_COMMANDS])
     environments = [(f"\\{edge}{{{env}}}", "") for env in fixed.ENVIRONMENTS for edge in ("begin", "end")]
-    return F.when(
-        _has(c, "\\"), replace_each(F.aggregate(commands, c, _drop_style), environments)
-    ).otherwise(c)
+    return F.when(c.rlike(STYLED), replace_each(F.aggregate(commands, c, _drop_style), environments)).otherwise(c)
 
 
 def degrees(c: Sql) -> Sql:
-    c = F.replace(c, F.lit("rad"), F.lit(""))
-    c = _sub(c, r"^(\d+) ?\^?\\?circ$", "$1")
-    return _sub(c, r"(?<!\d)(\d++) ?\^?\\?circ", r"{$1*\\frac{\\pi}{180}}")
+    def named(s: Sql) -> Sql:
+        return _sub(_sub(s, r"^(\d+) ?\^?\\?circ$", "$1"), r"(?<!\d)(\d++) ?\^?\\?circ", r"{$1*\\frac{\\pi}{180}}")
+
+    return let(F.replace(c, F.lit("rad"), F.lit("")), lambda s: F.when(_has(s, "circ"), named(s)).otherwise(s))
 
 
 def function_powers(c: Sql) -> Sql:
     r"""``sin`` → ``\sin^{1}``, ``\sin^2`` → ``\sin^{2}``."""
-    c = _sub(c, rf"\\?({_FN})\^(\d+)", r"\\$1^{$2}")
-    return _sub(c, rf"\\?({_FN})(?!\^)", r"\\$1^{1}")
+    c = _sub(c, rf"(?=\\?[{_FIRST}])\\?({_FN})\^(\d+)", r"\\$1^{$2}")
+    return _sub(c, rf"(?=\\?[{_FIRST}])\\?({_FN})(?!\^)", r"\\$1^{1}")
 
 
 def drop_units(c: Sql) -> Sql:
-    for unit in ("|".join(fixed.UNITS), r"a\.?m\.?", r"p\.?m\.?"):
-        c = _sub(c, rf"(?<![-\d.*^{{}}])([-\d.*^{{}}]++)(?:{unit})e?s?$", "$1")
-    return c
+    def dropped(s: Sql) -> Sql:
+        for unit in ("|".join(fixed.UNITS), r"a\.?m\.?", r"p\.?m\.?"):
+            s = _sub(s, rf"(?<![-\d.*^{{}}])([-\d.*^{{}}]++)(?:{unit})e?s?$", "$1")
+        return s
+
+    return let(c, lambda s: F.when(F.substring(s, F.lit(-1), F.lit(1)).rlike(UNIT_END), dropped(s)).otherwise(s))
 
 
 def replace_literals(c: Sql) -> Sql:
-    return replace_each(replace_each(c, [(x, "") for x in fixed.REMOVED]), fixed.REPLACED)
+    def replaced(s: Sql) -> Sql:
+        return replace_each(replace_each(s, [(x, "") for x in fixed.REMOVED]), fixed.REPLACED)
+
+    return let(c, lambda s: F.when(s.rlike(REPLACEABLE), replaced(s)).otherwise(s))
 
 
 def _infinity_and_spaces(c: Sql) -> Sql:
@@ -213,9 +232,10 @@ def _infinity_and_spaces(c: Sql) -> Sql:
 
 
 def _functions_and_arrays(c: Sql) -> Sql:
-    c = _sub(degrees(c), rf"(?<!\\)(pi\b|{_FN})", r"\\$1")
-    c = _sub(function_powers(c), r"\{[a-z]?matrix\}", "{array}")
-    return _sub(c, r"\\begin\{array\}\{[lcr]*\}", r"\\begin{array}{}")
+    s = _sub(degrees(c), rf"(?<!\\)(?=[{_FIRST}p])(pi\b|{_FN})", r"\\$1")
+    s = _sub(function_powers(s), r"\{[a-z]?matrix\}", "{array}")
+    s = _sub(s, r"\\begin\{array\}\{[lcr]*\}", r"\\begin{array}{}")
+    return F.when(c.rlike(LETTER), s).otherwise(c)
 
 
 def _row_breaks(c: Sql) -> Sql:
@@ -227,7 +247,8 @@ def _imaginary_unit(c: Sql) -> Sql:
 
 
 def _zeros_and_units(c: Sql) -> Sql:
-    return drop_units(_sub(_sub(c, r"(?<=\d)\.0+([^\d])", "$1"), r"(?<=\d)\.0+$", ""))
+    s = drop_units(_sub(_sub(c, r"(?<=\d)\.0+([^\d])", "$1"), r"(?<=\d)\.0+$", ""))
+    return F.when(c.rlike(LETTER_OR_POINT), s).otherwise(c)
 
 
 def _leading_point(c: Sql) -> Sql:
@@ -236,15 +257,15 @@ def _leading_point(c: Sql) -> Sql:
 
 def is_set(c: Sql) -> Sql:
     return (
-        c.rlike(r"[^a-z]or(x|[^a-z])")
+        (_has(c, "or") & c.rlike(r"[^a-z]or(x|[^a-z])"))
         | (F.startswith(c, F.lit("{")) & F.endswith(c, F.lit("}")))
         | (F.startswith(c, F.lit("\\{")) & F.endswith(c, F.lit("\\}")))
     )
 
 
 def fix_sqrt(c: Sql) -> Sql:
-    c = _sub(c, r"\\?sqrt[({\[](\w+)[)}\]]", r"\\sqrt{$1}")
-    return _sub(c, r"\\?sqrt\s*(\d+)", r"\\sqrt{$1}")
+    s = _sub(c, r"\\?sqrt[({\[](\w+)[)}\]]", r"\\sqrt{$1}")
+    return F.when(_has(c, "sqrt"), _sub(s, r"\\?sqrt\s*(\d+)", r"\\sqrt{$1}")).otherwise(c)
 
 
 def fix_fracs(c: Sql) -> Sql:
@@ -272,7 +293,7 @@ def fix_fracs(c: Sql) -> Sql:
 
 
 def fix_slashes(c: Sql) -> Sql:
-    return _sub(c, r"(\b\d+|sqrt\(.*?\))/(\d+|sqrt\(.*?\)\b)", r"\\frac{$1}{$2}")
+    return F.when(_has(c, "/"), _sub(c, r"(\b\d+|sqrt\(.*?\))/(\d+|sqrt\(.*?\)\b)", r"\\frac{$1}{$2}")).otherwise(c)
 
 
 def plus_minus(c: Sql) -> Sql:
@@ -372,7 +393,7 @@ def _chains_to_lists(c: Sql) -> Sql:
     listed = F.lower(c).rlike(",|and|or")
 
     def many(sign: str) -> Sql:
-        return ~listed & (F.regexp_count(c, F.lit(sign)) > 1)
+        return (F.regexp_count(c, F.lit(sign)) > 1) & ~listed
 
     return F.when(many("<"), F.replace(c, F.lit("<"), F.lit(","))).when(
         many(">"), F.replace(c, F.lit(">"), F.lit(","))

@@ -84,18 +84,20 @@ def _sum_of_products(c: Sql, atom: str, value: Callable[[Sql], Sql]) -> Sql:
 
 
 def _powered(t: Sql, base: Sql) -> Sql:
-    exponent = F.regexp_extract(t, r"\^\{?(-?[\d.]+)\}?$", 1).try_cast("double")
+    # Where nothing is found there is nothing to cast: a failed cast costs an exception.
+    exponent = F.when(F.contains(t, "^"), F.regexp_extract(t, r"\^\{?(-?[\d.]+)\}?$", 1).try_cast("double"))
     return F.pow(base, F.coalesce(exponent, F.lit(1.0)))
 
 
 def _number(t: Sql) -> Sql:
-    base = F.coalesce(F.regexp_extract(t, r"^[\d.]+", 0).try_cast("double"), F.pi())
+    base = F.coalesce(F.when(t.rlike(r"^[\d.]"), F.regexp_extract(t, r"^[\d.]+", 0).try_cast("double")), F.pi())
     return _powered(t, base)
 
 
 def _with_roots(t: Sql) -> Sql:
     inner = F.regexp_extract(t, r"\\sqrt(?:\[\d+\])?\{(.*?)\}(?:\^\{?-?[\d.]+\}?)?$", 1)
-    degree = F.coalesce(F.regexp_extract(t, r"\\sqrt\[(\d+)\]", 1).try_cast("double"), F.lit(2.0))
+    numbered = F.when(F.contains(t, "\\sqrt["), F.regexp_extract(t, r"\\sqrt\[(\d+)\]", 1).try_cast("double"))
+    degree = F.coalesce(numbered, F.lit(2.0))
     # Roots of negative numbers and zeroth roots have no real value.
     root = let(
         _sum_of_products(inner, _NUMBER, _number),
