@@ -216,7 +216,7 @@ def test_closed_forms_cast_only_numbers(spark):
 
 
 def test_words_and_units_behind_their_guards(spark):
-    rows = [("5 km\u2028", "5"), ("12 hours", "12"), ("7 am", "7"), ("ciradrc", "circ"), ("3ciradrc", r"{3*\frac{\pi}{180}}"), (r"\binom{3}{2} no", "False"), ("İyes", "True")]
+    rows = [("5 km\u2028", "5"), ("12 hours", "12"), ("7 am", "7"), ("ciradrc", "circ"), ("x3ciradrc", r"x{3*\frac{\pi}{180}}"), (r"\binom{3}{2} no", "False"), ("İyes", "True")]
     df = spark.createDataFrame(rows[:3] + rows[5:], "t string, want string")
     done = grading.normalize_answers(df, "t", "norm").collect()
     assert [r["norm"] for r in done] == [r["want"] for r in done]

@@ -258,7 +258,7 @@ def stream_grade(spark, sf):
     """K1, A4: grade and append what arrives."""
     path = scratch_path(spark, "responses")
     rows = view(spark, sf, "resp")
-    files.write_jsonl(rows, path)
+    files.write_jsonl(rows, path, compression="gzip", max_rows=100_000)
     arriving = incremental.read_stream(spark, path, rows.schema)
     graded = incremental.grade_stream(arriving, mode="math").select("resp_id", "ans", "correct")
     return _run(spark, graded)
